@@ -5,10 +5,25 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from trackloom.llm.state import table
 
 
+def op3_vector_bin_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trackloom.llm.sharding import shard
+
+    return shard(table(spark, sf_dir, "documents"), shards=16)
+
+
+def op6_png_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trackloom.llm.media import features, store
+
+    found = features(store(table(spark, sf_dir, "documents")))
+    media_bytes, media_sha256 = F.octet_length("media").cast("bigint"), F.sha2("media", 256)
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", media_bytes.alias("media_bytes"), media_sha256.alias("media_sha256"), F.lower(F.hex("hash")).alias("feature"))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -18,6 +33,8 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_vector_bin_sharding": op3_vector_bin_sharding,
+    "op6_png_media": op6_png_media,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
