@@ -33,6 +33,12 @@ def op8_chat_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(format_chats(rows.select("conv_id", "turn", "role", text_part(F.col("text")).alias("parts"))))
 
 
+def op9_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trackloom.llm.secrets import report
+
+    return report(table(spark, sf_dir, "documents"))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -45,6 +51,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_vector_bin_sharding": op3_vector_bin_sharding,
     "op6_png_media": op6_png_media,
     "op8_chat_parts": op8_chat_parts,
+    "op9_secret_ownership": op9_secret_ownership,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
