@@ -24,6 +24,14 @@ def op6_png_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", media_bytes.alias("media_bytes"), media_sha256.alias("media_sha256"), F.lower(F.hex("hash")).alias("feature"))
 
 
+def op7_rank_order_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trackloom.llm.langid import classify, held_out, learn
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    profiles = learn(docs.where(~held_out()))
+    return classify(docs.select("doc_id", "text"), profiles).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op8_chat_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from trackloom.llm.chat import digests, format_chats, text_part
 
@@ -50,6 +58,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_vector_bin_sharding": op3_vector_bin_sharding,
     "op6_png_media": op6_png_media,
+    "op7_rank_order_language": op7_rank_order_language,
     "op8_chat_parts": op8_chat_parts,
     "op9_secret_ownership": op9_secret_ownership,
     "op10_best_fit_packing": op10_best_fit_packing,
