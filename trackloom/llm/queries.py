@@ -16,6 +16,13 @@ def op3_vector_bin_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents"), shards=16)
 
 
+def op5_tensored_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trackloom.llm.minhash import link
+
+    found = link(table(spark, sf_dir, "documents"), similarity=0.85)
+    return found.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+
+
 def op6_png_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     from trackloom.llm.media import features, store
 
@@ -57,6 +64,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_vector_bin_sharding": op3_vector_bin_sharding,
+    "op5_tensored_minhash": op5_tensored_minhash,
     "op6_png_media": op6_png_media,
     "op7_rank_order_language": op7_rank_order_language,
     "op8_chat_parts": op8_chat_parts,
