@@ -10,6 +10,12 @@ from pyspark.sql import functions as F
 from trackloom.llm.state import table
 
 
+def op2_qgram_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trackloom.llm.decontaminate import find
+
+    return find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_vector_bin_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from trackloom.llm.sharding import shard
 
@@ -63,6 +69,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_qgram_decontamination": op2_qgram_decontamination,
     "op3_vector_bin_sharding": op3_vector_bin_sharding,
     "op5_tensored_minhash": op5_tensored_minhash,
     "op6_png_media": op6_png_media,
