@@ -22,6 +22,12 @@ def op3_vector_bin_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents"), shards=16)
 
 
+def op4_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trackloom.llm.lm import cross_entropy_difference
+
+    return cross_entropy_difference(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").where("quality = 1"))
+
+
 def op5_tensored_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from trackloom.llm.minhash import link
 
@@ -71,6 +77,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_qgram_decontamination": op2_qgram_decontamination,
     "op3_vector_bin_sharding": op3_vector_bin_sharding,
+    "op4_cross_entropy_difference": op4_cross_entropy_difference,
     "op5_tensored_minhash": op5_tensored_minhash,
     "op6_png_media": op6_png_media,
     "op7_rank_order_language": op7_rank_order_language,
