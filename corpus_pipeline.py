@@ -1,25 +1,58 @@
-"""The corpus pipeline: stages over documents, each written as Parquet and read again before the next one."""
+"""The corpus pipeline: stages over documents, each written as Parquet and read again before the next one.
+
+A stage takes (spark, docs, sf_dir). The four filters return the columns of docs; the last one returns packed pieces.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
-
 import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from trackloom.llm.packing import pack_documents
+from trackloom.llm import decontaminate, langid, minhash, packing, secrets
 from trackloom.llm.state import cut, table
 
+#: Least score of a language that the language stage believes.
+LANGUAGE_SCORE = 0.1
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that the labelled ones have; others (no letter, or like no profile) go."""
+    profiles = langid.learn(docs.where(~langid.held_out()).select("doc_id", "text", "lang"))
+    found = langid.classify(docs, profiles).where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LANGUAGE_SCORE))
+    return found.select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that with the smallest doc_id, of each group linked by similarities of 0.8 or more."""
+    return minhash.dedup(docs, similarity=0.8).select(*docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no item of benchmark."""
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with live-looking secrets masked; widely copied examples stay."""
+    return secrets.redact(docs)
+
 
-def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("best_fit_packing", packing),
+    ("language_id", language_id),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("secret_scan", secret_scan),
+    ("best_fit_packing", best_fit_packing),
 ]
 
+#: SQL can't express the learnt and hashed stages; tests hold run() against a brute-force version.
 ORACLE_SQL = None
 
 

@@ -10,6 +10,12 @@ from pyspark.sql import functions as F
 from trackloom.llm.state import table
 
 
+def op1_recurrent_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trackloom.llm.html import extract
+
+    return extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("bigint"))
+
+
 def op2_qgram_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from trackloom.llm.decontaminate import find
 
@@ -75,6 +81,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_recurrent_main_text": op1_recurrent_main_text,
     "op2_qgram_decontamination": op2_qgram_decontamination,
     "op3_vector_bin_sharding": op3_vector_bin_sharding,
     "op4_cross_entropy_difference": op4_cross_entropy_difference,
