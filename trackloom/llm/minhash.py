@@ -38,7 +38,7 @@ from trackloom.llm.state import cut
 WORDS = 5
 SHINGLE_SEEDS = tx.seeds(WORDS, 5)
 #: Pivots of a bucket in the rounds after the first.
-PIVOTS = 8
+PIVOTS = 64
 
 
 @dataclass(frozen=True)

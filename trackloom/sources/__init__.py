@@ -1 +1 @@
-
+"""Reading and writing of videos, tracking, annotations and results."""
