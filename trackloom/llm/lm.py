@@ -172,8 +172,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def cross_entropy_difference(docs: DataFrame, targets: DataFrame) -> DataFrame:
-    """Scores of docs, with those whose doc_id is in targets as the target corpus."""
+    """Scores of docs, with those whose doc_id is in targets as the target corpus. Both grow together, so they are
+    joined by sorting at every size."""
     ids = targets.select(F.col("doc_id").cast("bigint").alias("_target_id")).where("_target_id is not null").distinct()
     text = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = cut(text.join(ids, F.col("doc_id") == F.col("_target_id"), "left").select("doc_id", "text", F.col("_target_id").isNotNull().alias("target")), "lm-rows")
+    rows = cut(text.join(ids.hint("merge"), F.col("doc_id") == F.col("_target_id"), "left").select("doc_id", "text", F.col("_target_id").isNotNull().alias("target")), "lm-rows")
     return score(rows, fit(rows))
