@@ -1 +1 @@
-
+"""Decoding of frame probabilities as they arrive."""
