@@ -144,7 +144,6 @@ def test_streamed_intervals_equal_batch(spark, tmp_path):
     rows = [(1, k, 0.9 if k < 5 or k == 8 else 0.1) for k in range(12)] + [(2, k, 0.9) for k in (3, 4, 7, 9)]
     spark.createDataFrame(rows, "video_id int, frame bigint, rear double").coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("video_id int, frame bigint, rear double").parquet(str(tmp_path / "in"))
-    query = stream_intervals(stream, ["video_id"], {"rear": 0.5}).writeStream.format("memory").queryName("found").outputMode("append").option("checkpointLocation", str(tmp_path / "state")).start()
-    query.processAllAvailable()
-    query.stop()
+    query = stream_intervals(stream, ["video_id"], {"rear": 0.5}, idle_ms=None).writeStream.format("memory").queryName("found").outputMode("append").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    assert query.awaitTermination(120)
     assert sorted(tuple(r) for r in spark.sql("select * from found").collect()) == [("1", "rear", 0, 5), ("1", "rear", 8, 9), ("2", "rear", 3, 5), ("2", "rear", 7, 8)]

@@ -20,7 +20,7 @@ OUT = "track string, action string, start_frame bigint, stop_frame bigint"
 STATE = "action string, start_frame bigint, last_frame bigint"
 
 
-def _step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+def _step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, idle_ms: int | None) -> Iterator[pd.DataFrame]:
     done, open_run = [], state.get if state.exists else (None, None, None)
     action, start, last = open_run
 
@@ -42,14 +42,20 @@ def _step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Ite
                 action, start = label, frame
             last = frame
         state.update((action, start, last))
-        state.setTimeoutDuration(60_000)
+        if idle_ms is not None:
+            state.setTimeoutDuration(idle_ms)
     yield pd.DataFrame(done, columns=["track", "action", "start_frame", "stop_frame"])
 
 
-def stream_intervals(frames: DataFrame, track: list[str], cutoffs: dict[str, float]) -> DataFrame:
+def stream_intervals(frames: DataFrame, track: list[str], cutoffs: dict[str, float], idle_ms: int | None = 60_000) -> DataFrame:
     """frames: a streaming table of track, frame and a probability for each action of cutoffs. Intervals come with the
-    track's columns joined by `/`."""
+    track's columns joined by `/`. A track without frames for idle_ms is closed; with None its last run waits for more."""
     name, best = winner({a: F.col(a) for a in cutoffs})
     chosen = frames.withColumns({"_name": name, "_best": best})
     chosen = chosen.select(F.concat_ws("/", *track).alias("track"), "frame", F.when(F.col("_best") >= thresholds(cutoffs, F.col("_name")), F.col("_name")).alias("action"))
-    return chosen.groupBy("track").applyInPandasWithState(_step, OUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        return _step(key, batches, state, idle_ms)
+
+    timeout = GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout
+    return chosen.groupBy("track").applyInPandasWithState(step, OUT, STATE, "append", timeout)
