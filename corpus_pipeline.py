@@ -21,8 +21,9 @@ LANGUAGE_SCORE = 0.1
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the labelled ones have; others (no letter, or like no profile) go."""
     profiles = langid.learn(docs.where(~langid.held_out()).select("doc_id", "text", "lang"))
-    found = langid.classify(docs, profiles).where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LANGUAGE_SCORE))
-    return found.select(*docs.columns)
+    own = {k: f"_own_{k}" for k in ("lang_pred", "score") if k in docs.columns}  # columns of docs with the classifier's names
+    found = langid.classify(docs.withColumnsRenamed(own), profiles).where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LANGUAGE_SCORE))
+    return found.drop("lang_pred", "score").withColumnsRenamed({v: k for k, v in own.items()}).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

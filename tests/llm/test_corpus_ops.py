@@ -207,6 +207,18 @@ def test_pipeline_equals_its_stages_by_hand(spark, tmp_path):
     assert {r.doc_id for r in packed} == set(kept["secret_scan"])
 
 
+def test_stages_keep_columns_with_clashing_names(spark, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    names = ("score", "lang_pred", "key", "rep", "span", "hash", "comp", "spans")
+    row = (1, "some words of a language", "aa", "s1", 24, *names)
+    docs = spark.createDataFrame([row], "doc_id bigint, text string, lang string, source string, n_chars bigint, " + ", ".join(f"{k} string" for k in names))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert [tuple(r) for r in stage(spark, docs, str(tmp_path)).select(*docs.columns).collect()] == [row]
+        assert stage(spark, docs.where("doc_id < 0"), str(tmp_path)).count() == 0
+
+
 def test_language_score_threshold_keeps_clean_documents(spark):
     import corpus_pipeline
 
