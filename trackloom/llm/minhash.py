@@ -6,13 +6,14 @@ the second collection: 2 * SIDES * WIDTH minhashes do the work of SIDES * SIDES
 similarity s shares a table unless it misses all groups of a collection: 2 * (1 - s ** WIDTH) ** SIDES at most, 1e-3
 at 0.85 with the defaults.
 
-Documents with equal sets are one representative from the start. Candidates are found in rounds, so that no bucket is
-ever expanded into all its pairs: in a round, each bucket's members are compared to its first members (pivots), links
-are confirmed on the full sets, and components are formed; a pivot is then done, and a bucket whose members are all of
-one component is closed. Rounds go on until all buckets are closed, so no candidate is lost. The first round has one
-pivot a bucket, which is all that a group of true copies needs.
-
-A candidate first has to fit in size, and its signatures have to agree in a share that a linked pair falls short of
+Documents with equal sets are one representative from the start. Candidates are confirmed on the full sets, in two steps, and no bucket is ever
+expanded into rows of pairs. First, each bucket's members are compared to its smallest one (the pivot) and components are
+formed, which is all that a group of true copies needs. A bucket that still has more than one component is then dealt
+into chunks of about CHUNK shingles or MEMBERS members; every two chunks meet in one task, where the sizes of all intersections come
+from products of incidence matrices, and only links that join two components come out. So every candidate is decided
+exactly, a task's memory is bounded by two chunks, and what is sent on is linear in the members.
+
+A candidate of the first step first has to fit in size, and its signatures have to agree in a share that a linked pair falls short of
 with odds under 1e-6 (6 standard deviations).
 
 Nulls: a text that is null, or without words, has an empty set and links with nothing; a null doc_id isn't allowed and
@@ -28,7 +29,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trackloom.llm import text as tx
@@ -37,8 +38,8 @@ from trackloom.llm.state import cut
 
 WORDS = 5
 SHINGLE_SEEDS = tx.seeds(WORDS, 5)
-#: Pivots of a bucket in the rounds after the first.
-PIVOTS = 64
+#: Shingles and members of a chunk of a bucket (about), and columns of an incidence matrix at once.
+CHUNK, MEMBERS, COLUMNS = 150_000, 1000, 2048
 
 
 @dataclass(frozen=True)
@@ -158,9 +159,7 @@ class Linker:
         two = reps.select(F.col("rep").alias("b"), F.col("n_shingles").alias("nb"), F.col("signature").alias("sb"))
         sized = pairs.join(one, "a").join(two, "b").where(F.least("na", "nb") * 1000 >= F.greatest("na", "nb") * self.per_mille)
         pairs = cut(sized.select("a", "b", "sa", "sb").mapInArrow(partial(_agree, least=self.least), "a bigint, b bigint"), "near-pairs")
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-        texts = self.docs.select(F.col("doc_id").cast("bigint").alias("rep"), F.col("text").cast("string").alias("text"))
-        sets = cut(texts.join(wanted, "rep", "left_semi").mapInArrow(_sets, "rep bigint, shingles array<bigint>"), "near-sets")
+        sets = self.sets(pairs.select(F.explode(F.array("a", "b")).alias("rep")))
         one = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("sa"))
         two = sets.select(F.col("rep").alias("b"), F.col("shingles").alias("sb"))
         both = F.size(F.array_intersect("sa", "sb"))
@@ -168,6 +167,87 @@ class Linker:
         return linked.select("a", "b").distinct()
 
 
+    def sets(self, reps: DataFrame) -> DataFrame:
+        """(rep, shingles) of the representatives in reps."""
+        texts = self.docs.select(F.col("doc_id").cast("bigint").alias("rep"), F.col("text").cast("string").alias("text"))
+        return cut(texts.join(reps.distinct(), "rep", "left_semi").mapInArrow(_sets, "rep bigint, shingles array<bigint>").dropDuplicates(["rep"]), "near-sets")
+
+    def block_links(self, members: DataFrame) -> DataFrame:
+        """Links (a, b) that join components of buckets; members: key, rep, comp."""
+        sized = members.join(self.reps.select("rep", "n_shingles"), "rep")
+        chunks = sized.groupBy("key").agg(F.ceil(F.greatest(F.sum("n_shingles") / F.lit(CHUNK), F.count(F.lit(1)) / F.lit(MEMBERS))).cast("int").alias("chunks"))
+        dealt = sized.join(chunks, "key").withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
+        other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
+        rows = dealt.withColumn("other", other).select("key", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"), "chunk", "rep", "comp")
+        full = rows.join(self.sets(members.select("rep")), "rep")
+        sorted_ = full.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high").select("key", "low", "high", "chunk", "rep", "comp", "shingles")
+        return sorted_.mapInArrow(partial(_blocks, per_mille=self.per_mille), "a bigint, b bigint").distinct()
+
+
+def joined(chunk: np.ndarray, rep: np.ndarray, comp: np.ndarray, shingles: list[np.ndarray], per_mille: int) -> list[tuple[int, int]]:
+    """Links that join components among the members of a block: of one chunk, or of one with the other."""
+    n, size = len(rep), np.array([len(x) for x in shingles])
+    if (comp == comp[0]).all():
+        return []
+    value, column, count = np.unique(np.concatenate(shingles), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(n), size)
+    shared = count[column] > 1  # others are in no intersection
+    column, row = (np.cumsum(count > 1) - 1)[column[shared]], row[shared]
+    order = np.argsort(column, kind="stable")
+    column, row = column[order], row[order]
+    both = np.zeros((n, n), np.float32)
+    for low in range(0, int((count > 1).sum()), COLUMNS):
+        a, b = np.searchsorted(column, [low, low + COLUMNS])
+        part = np.zeros((n, COLUMNS), np.float32)
+        part[row[a:b], column[a:b] - low] = 1
+        both += part @ part.T
+    both = both.astype(np.int64)
+    linked = both * 1000 >= (size[:, None] + size[None, :] - both) * per_mille
+    linked &= np.triu(np.ones((n, n), bool), 1)
+    if chunk.min() < chunk.max():
+        linked &= chunk[:, None] != chunk[None, :]
+    root = {c: c for c in comp.tolist()}
+
+    def top(c: int) -> int:
+        while root[c] != c:
+            root[c] = root[root[c]]
+            c = root[c]
+        return c
+
+    out = []
+    for i, j in zip(*np.nonzero(linked), strict=True):
+        x, y = top(int(comp[i])), top(int(comp[j]))
+        if x != y:
+            root[max(x, y)] = min(x, y)
+            out.append((int(min(rep[i], rep[j])), int(max(rep[i], rep[j]))))
+    return out
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], per_mille: int) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by block (key, low, high) to links; a block may go on in the next batch."""
+    held: list[tuple] = []
+    block = None
+
+    def done() -> pa.RecordBatch:
+        chunk, rep, comp = (np.array(x) for x in zip(*(h[:3] for h in held), strict=True))
+        links = joined(chunk, rep, comp, [h[3] for h in held], per_mille)
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    for batch in batches:
+        keys = list(zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True))
+        chunk, rep, comp = (batch.column(k).to_pylist() for k in (3, 4, 5))
+        lists = batch.column(6)
+        ends, values = np.asarray(lists.offsets), np.asarray(lists.values)
+        for k, key in enumerate(keys):
+            if key != block:
+                if len(held) > 1:
+                    yield done()
+                held, block = [], key
+            held.append((chunk[k], rep[k], comp[k], values[ends[k] : ends[k + 1]].copy()))
+    if len(held) > 1:
+        yield done()
+
+
 def link(docs: DataFrame, similarity: float = 0.85, banding: Banding | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
     per_mille = round(similarity * 1000)
@@ -182,27 +262,19 @@ def link(docs: DataFrame, similarity: float = 0.85, banding: Banding | None = No
     members = cut(keys.join(buckets, "key"), "near-members")
     links = cut(linker.links(members.where("rep > pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b"))), "near-links")
     comps = components(links)
-    rest = members.where("rep > pivot").select("key", "rep")
-    while True:
-        rest = open_buckets(rest, comps)
-        if rest.isEmpty():
-            break
-        order = Window.partitionBy("key").orderBy("rep")
-        pivots = cut(rest.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= PIVOTS).select("key", F.col("rep").alias("pivot"), F.col("comp").alias("pivot_comp")), "near-pivots")
-        pairs = rest.join(pivots, "key").where((F.col("rep") > F.col("pivot")) & (F.col("comp") != F.col("pivot_comp")))
-        found = cut(linker.links(pairs.select(F.col("pivot").alias("a"), F.col("rep").alias("b"))), "near-links")
-        if not found.isEmpty():
-            links = cut(links.unionByName(found), "near-links")
-            comps = components(links)
-        rest = rest.join(pivots.select("key", F.col("pivot").alias("rep")), ["key", "rep"], "left_anti").select("key", "rep")
+    more = cut(linker.block_links(open_buckets(members.select("key", "rep"), comps)), "near-links")
+    if not more.isEmpty():
+        comps = components(links.unionByName(more))
     of_set = copies.join(comps, copies["rep"] == comps["node"], "left").select(*by_set, F.coalesce("comp", "rep").alias("component_id"))
     return signed.select("doc_id", *by_set).join(of_set, by_set, "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def open_buckets(members: DataFrame, comps: DataFrame) -> DataFrame:
-    """Members (key, rep, comp) of the buckets that have more than one component."""
+    """Members (key, rep, comp) of the buckets that have more than one component; of buckets with the same members, one."""
     named = members.join(comps, members["rep"] == comps["node"], "left").select("key", "rep", F.coalesce("comp", "rep").alias("comp"))
-    several = named.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least < most").select("key")
+    same = [F.bit_xor(F.xxhash64("rep", F.lit(k))).alias(f"same_{k}") for k in (1, 2)]
+    several = named.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.count(F.lit(1)).alias("n"), *same).where("least < most")
+    several = several.groupBy("n", "same_1", "same_2").agg(F.min("key").alias("key")).select("key")
     return cut(named.join(several, "key", "left_semi"), "near-open")
 
 
