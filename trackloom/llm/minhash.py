@@ -11,7 +11,7 @@ expanded into rows of pairs. First, each bucket's members are compared to its sm
 formed, which is all that a group of true copies needs. A bucket that still has more than one component is then dealt
 into chunks of about CHUNK shingles or MEMBERS members; every two chunks meet in one task, where the sizes of all intersections come
 from products of incidence matrices, and only links that join two components come out. So every candidate is decided
-exactly, a task's memory is bounded by two chunks, and what is sent on is linear in the members.
+exactly and a task's memory is bounded by two chunks; a bucket of many chunks sends each member to each chunk.
 
 A candidate of the first step first has to fit in size, and its signatures have to agree in a share that a linked pair falls short of
 with odds under 1e-6 (6 standard deviations).

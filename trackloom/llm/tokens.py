@@ -2,7 +2,7 @@
 
 A byte-level BPE never merges across its pre-tokens, so the ids of a text are those of its pre-tokens in order. The
 pre-tokens of a slab are found and hashed with numpy; only those not met before are encoded. Where the file's merges
-stand in the order of their ids, its vocabulary is a rank table, and tiktoken merges by it about ten times as fast;
+stand in the order of their ids, its vocabulary is a rank table, and tiktoken merges by it several times as fast;
 otherwise the tokenizers library does.
 """
 
