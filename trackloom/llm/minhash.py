@@ -8,8 +8,8 @@ at 0.85 with the defaults.
 
 Documents with equal sets are one representative from the start. Candidates are confirmed on the full sets, in two steps, and no bucket is ever
 expanded into rows of pairs. First, each bucket's members are compared to its smallest one (the pivot) and components are
-formed, which is all that a group of true copies needs. A bucket that still has more than one component is then dealt
-into chunks of about CHUNK shingles or MEMBERS members; every two chunks meet in one task, where the sizes of all intersections come
+formed, which is all that a group of true copies needs. A bucket whose other members (pairs with
+the pivot are decided) still have more than one component is then dealt into chunks of about CHUNK shingles or MEMBERS members; every two chunks meet in one task, where the sizes of all intersections come
 from products of incidence matrices, and only links that join two components come out. So every candidate is decided
 exactly and a task's memory is bounded by two chunks; a bucket of many chunks sends each member to each chunk.
 
@@ -262,7 +262,7 @@ def link(docs: DataFrame, similarity: float = 0.85, banding: Banding | None = No
     members = cut(keys.join(buckets, "key"), "near-members")
     links = cut(linker.links(members.where("rep > pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b"))), "near-links")
     comps = components(links)
-    more = cut(linker.block_links(open_buckets(members.select("key", "rep"), comps)), "near-links")
+    more = cut(linker.block_links(open_buckets(members.where("rep > pivot").select("key", "rep"), comps)), "near-links")
     if not more.isEmpty():
         comps = components(links.unionByName(more))
     of_set = copies.join(comps, copies["rep"] == comps["node"], "left").select(*by_set, F.coalesce("comp", "rep").alias("component_id"))
