@@ -178,6 +178,18 @@ def test_cross_entropy_difference_equals_counting(spark, docs):
     assert lm.cross_entropy_difference(docs([]), targets).count() == 0
 
 
+def test_rare_words_and_pairs_are_known_in_a_large_corpus(spark, docs):
+    rows = [(k, "the " * 20_000) for k in range(20)] + [(100, "alpha beta gamma"), (101, "alpha beta delta")]
+    targets = spark.createDataFrame([(100,)], "doc_id bigint")
+    got = {x.doc_id: x for x in lm.cross_entropy_difference(docs(rows), targets).collect()}
+    single = lambda n, total: 0.3 * (n + 1) / (total + 4)  # noqa: E731  known: the, alpha, beta
+    background = [single(2, 400_006), single(2, 400_006) + 0.7 * 2 / 2, single(2, 400_006) + 0.7 * 2 / 2]  # gamma and delta are one unknown word
+    target = [single(1, 3), single(1, 3) + 0.7, single(1, 3) + 0.7]
+    loss = [-sum(map(math.log, p)) / 3 for p in (background, target)]
+    for k in (100, 101):
+        assert got[k].n_tokens == 3 and abs(got[k].background_loss - loss[0]) < 1e-9 and abs(got[k].target_loss - loss[1]) < 1e-9
+
+
 def test_pipeline_equals_its_stages_by_hand(spark, tmp_path):
     import corpus_pipeline
     from trackloom.llm import secrets

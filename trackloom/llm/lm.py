@@ -1,16 +1,21 @@
 """Cross-entropy difference of documents between matched n-gram models.
 
 The background model counts the words and word pairs of all documents, the target model those of target documents.
-Both share one vocabulary and one set of pairs: a word is in it if it makes up at least WORD_RATE of all words (so it has
-1 / WORD_RATE words at most), a pair if it makes up PAIR_RATE of all (1 / PAIR_RATE at most), and either occurs twice at
-least; other words are one unknown word. These are shares of the whole corpus, so what is kept means the same at every
-size and what executors are sent is bounded, while the counts gathered to find it grow with the corpus. A model gives
+Both share one vocabulary and one set of pairs: every word and every pair that occurs twice or more in all documents;
+other words are one unknown word. A model gives
 
     p(w | v) = PAIR_WEIGHT * c(v, w) / c(v) + (1 - PAIR_WEIGHT) * (c(w) + 1) / (N + V)
 
 and a token's losses are -log p. A document's score is the mean of target loss minus background loss: the lower, the
 more it is like the target.
 
+No model is held in one place, so its size follows the corpus. Documents are packed into slabs. A slab asks for its
+distinct words, dealt to buckets by hash; a bucket adds up what all slabs counted and answers each in the order of its
+question, 0 for what occurs once. With its words' counts a slab knows its unknown words, and asks for its pairs in the
+same way; with both answers it scores its documents. Questions and answers are shuffled, and so are packed documents,
+to meet their answers. Words and pairs are told apart by 64-bit hashes. The number of buckets follows
+spark.sql.shuffle.partitions and, from some size on, the corpus, so that a bucket fits in memory.
+
 Words are runs of what isn't white space, A-Z lowered. Nulls: a text that is null or without words has no tokens, and
 losses and score 0; a null target flag is false. Repeated rows count again and score alike. Without target documents the
 target model is uniform but for the pairs. An empty table gives an empty result. Extra columns are not read.
@@ -24,17 +29,24 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trackloom.llm import text as tx
 from trackloom.llm.state import cut
 
-WORD_RATE, PAIR_RATE = 1e-5, 1e-6
 PAIR_WEIGHT = 0.7
-#: Counts are merged when so many have come together.
-MERGE = 2_000_000
-COUNTS = "key bigint, n bigint, n_target bigint"
+#: Words and pairs that occur more rarely are unknown.
+LEAST = 2
+#: Bytes of text in a slab (and more in one that holds a single longer document), and slabs for which a bucket is added.
+SLAB, SLABS_A_BUCKET = 2 << 20, 8
+PARTS = "slab bigint, docs binary"
+ASKED = "bucket bigint, slab bigint, keys binary, n binary, n_target binary"
+#: known, kept and kept_target (all that is known in the bucket), total and total_target stand in a bucket's first row.
+STATED = ("known", "kept", "kept_target", "total", "total_target")
+ANSWERED = "slab bigint, bucket bigint, n binary, n_target binary, " + ", ".join(f"{k} bigint" for k in STATED)
+SCORED = "doc_id bigint, n_tokens bigint, target_loss double, background_loss double, score double"
 
 
 def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -45,130 +57,159 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return row, tx.range_hash(tx.prefix_hash(tx.LOWER[data]), start, end).view(np.int64)
 
 
-class _Counts:
-    """Counts of keys, in all and in target rows, merged now and then."""
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text, target) to slabs: a number of its own and the rows, as a compressed Arrow stream."""
+    number, held, size = TaskContext.get().partitionId() << 33, [], 0
 
-    def __init__(self) -> None:
-        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        self.size = 0
+    def packed() -> pa.RecordBatch:
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            for x in held:
+                out.write_batch(x)
+        return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["slab", "docs"])
 
-    def add(self, key: np.ndarray, target: np.ndarray) -> None:
-        self._put(key, np.ones(len(key), np.int64), target.astype(np.int64))
-        if self.size > MERGE:
-            self.merged()
+    for batch in batches:
+        for low, high, data, _ in tx.slabs(batch.column(1), SLAB):
+            held.append(batch.slice(low, high - low))
+            size += len(data) + 64 * (high - low)
+            if size >= SLAB:
+                yield packed()
+                number, held, size = number + 1, [], 0
+    if held:
+        yield packed()
 
-    def _put(self, key: np.ndarray, n: np.ndarray, n_target: np.ndarray) -> None:
-        order = np.argsort(key)
-        key = key[order]
-        head = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
-        if len(head):
-            self.parts.append((key[head], np.add.reduceat(n[order], head), np.add.reduceat(n_target[order], head)))
-            self.size += len(head)
 
-    def merged(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        parts, self.parts, self.size = self.parts, [], 0
-        if parts:
-            self._put(*(np.concatenate(x) for x in zip(*parts, strict=True)))
-        return self.parts[0] if self.parts else (np.zeros(0, np.int64),) * 3
+def _unpacked(docs: bytes) -> tuple[pa.Table, np.ndarray, np.ndarray]:
+    """Rows of a slab, and row and hash of their words."""
+    rows = pa.ipc.open_stream(docs).read_all()
+    found = [(low, *tokens(data, offsets)) for low, _, data, offsets in tx.slabs(rows.column("text"))]
+    return rows, np.concatenate([low + row for low, row, _ in found]), np.concatenate([key for _, _, key in found]).view(np.uint64)
 
 
-@dataclass
-class Model:
-    """words: known hashes, ascending; a word's number is its place, the unknown word's the last. pairs: first word's
-    number * size + second word's number, ascending. Counts of both in all documents and in the target."""
-
-    words: np.ndarray
-    word_counts: np.ndarray
-    pairs: np.ndarray
-    pair_counts: np.ndarray
-
-    @property
-    def size(self) -> int:
-        return len(self.words) + 1
-
-    def numbers(self, hashes: np.ndarray) -> np.ndarray:
-        if not len(self.words):
-            return np.zeros(len(hashes), np.int64)
-        where = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
-        return np.where(self.words[where] == hashes, where, len(self.words))
-
-    def prepare(self) -> Model:
-        """Log terms that losses() looks up."""
-        total = self.word_counts.sum(axis=1, keepdims=True)
-        self.single = (1 - PAIR_WEIGHT) * (self.word_counts + 1) / (total + self.size)
-        self.history = np.maximum(self.word_counts, 1)
-        return self
-
-    def losses(self, row: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-        """Background and target loss of each token."""
-        number = self.numbers(hashes)
-        p = self.single[:, number]
-        inner = np.flatnonzero(row[1:] == row[:-1]) + 1 if len(row) else np.zeros(0, np.int64)
-        before = number[inner - 1]
-        pair = before * self.size + number[inner]
-        where = np.minimum(np.searchsorted(self.pairs, pair), max(len(self.pairs) - 1, 0))
-        known = self.pairs[where] == pair if len(self.pairs) else np.zeros(len(pair), bool)
-        inner, before, where = inner[known], before[known], where[known]
-        p[:, inner] += PAIR_WEIGHT * self.pair_counts[:, where] / self.history[:, before]
-        return -np.log(p)
-
-
-def _count(batches: Iterator[pa.RecordBatch], model: Model | None) -> Iterator[pa.RecordBatch]:
-    """(target, text) to counts of words, or of pairs of a model's words."""
-    counts = _Counts()
-    for batch in batches:
-        target = np.asarray(batch.column(0).fill_null(False))
-        for low, high, data, offsets in tx.slabs(batch.column(1)):
-            row, key = tokens(data, offsets)
-            own = target[low:high]
-            if model is not None:
-                number = model.numbers(key)
-                inner = np.flatnonzero(row[1:] == row[:-1]) + 1 if len(row) else np.zeros(0, np.int64)
-                row, key = row[inner], number[inner - 1] * model.size + number[inner]
-            counts.add(key, own[row])
-    found = counts.merged()
-    for k in range(0, len(found[0]), 200_000):
-        yield pa.RecordBatch.from_arrays([pa.array(x[k : k + 200_000], pa.int64()) for x in found], names=["key", "n", "n_target"])
-
-
-def _score(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text) to losses and score."""
-    model.prepare()
+def _inner(row: np.ndarray) -> np.ndarray:
+    """Places of the words that have one before them in their row."""
+    return np.flatnonzero(row[1:] == row[:-1]) + 1 if len(row) else np.zeros(0, np.int64)
+
+
+def _pair_keys(key: np.ndarray, count: np.ndarray, inner: np.ndarray) -> np.ndarray:
+    """Hashes of word pairs; all unknown words count as one."""
+    word = np.where(count > 0, key, np.uint64(0))
+    return tx.mix(tx.mix(word)[inner - 1] * np.uint64(0x9E3779B97F4A7C15) + word[inner])
+
+
+def _dealt(key: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys by bucket and value, their buckets, and the place of each of key among them."""
+    distinct, inverse = np.unique(key, return_inverse=True)
+    bucket = (distinct % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return distinct[order], bucket[order], place[inverse]
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """All lowest bytes of x, then all next ones, and so on: most counts are small, so the shuffle's compression finds runs."""
+    return x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes()
+
+
+def _counts(planes: list[bytes], kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.concatenate([np.zeros(0, kind), *(np.frombuffer(x, np.uint8).reshape(size, -1).T.copy().view(kind)[:, 0] for x in planes)])
+
+
+def _question(slab: int, key: np.ndarray, target: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """A row for each bucket in which the slab has keys: these, and their counts in the slab."""
+    distinct, bucket, place = _dealt(key, buckets)
+    n = np.bincount(place, minlength=len(distinct)).astype(np.uint32)
+    n_target = np.bincount(place, target, minlength=len(distinct)).astype(np.uint32)
+    head = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.zeros(0, np.int64)
+    ends = zip(head, np.append(head[1:], len(bucket)), strict=True)
+    split = [[distinct[a:b].tobytes(), _planes(n[a:b]), _planes(n_target[a:b])] for a, b in ends]
+    return pa.RecordBatch.from_arrays([pa.array(bucket[head], pa.int64()), pa.array([slab] * len(head), pa.int64()), *(pa.array([x[k] for x in split], pa.binary()) for k in range(3))], names=["bucket", "slab", "keys", "n", "n_target"])
+
+
+def _answer(asked: pa.Table) -> pa.Table:
+    """All questions to a bucket to an answer to each."""
+    keys, inverse = np.unique(np.frombuffer(b"".join(asked["keys"].to_pylist()), np.uint64), return_inverse=True)
+    counts = [np.bincount(inverse, _counts(asked[name].to_pylist(), np.uint32), minlength=len(keys)).astype(np.int64) for name in ("n", "n_target")]
+    known = counts[0] >= LEAST
+    stated = [known.sum(), *(x[known].sum() for x in counts), *(x.sum() for x in counts)]
+    end = np.cumsum([len(x) // 8 for x in asked["keys"].to_pylist()])
+    answers = [np.where(known, x, 0)[inverse] for x in counts]
+    split = [pa.array([_planes(x[a:b]) for a, b in zip(np.append(0, end[:-1]), end, strict=True)], pa.binary()) for x in answers]
+    first = [pa.array([int(x), *[0] * (len(asked) - 1)], pa.int64()) for x in stated]
+    return pa.table([asked["slab"], asked["bucket"], *split, *first], names=["slab", "bucket", "n", "n_target", *STATED])
+
+
+def _heard(answers: pa.Table) -> np.ndarray:
+    """Counts, in all and in target documents, of a slab's distinct keys as _dealt() orders them."""
+    answers = answers.sort_by("bucket")
+    return np.stack([_counts(answers[name].to_pylist(), np.int64) for name in ("n", "n_target")])
+
+
+def _target(rows: pa.Table) -> np.ndarray:
+    return np.asarray(rows["target"].fill_null(False))
+
+
+def _ask_words(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for low, high, data, offsets in tx.slabs(batch.column(1)):
-            row, key = tokens(data, offsets)
-            loss = model.losses(row, key)
-            n = np.bincount(row, minlength=high - low)
-            mean = [np.bincount(row, x, minlength=high - low) / np.maximum(n, 1) for x in loss]
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array(n, pa.int64()), pa.array(mean[1]), pa.array(mean[0]), pa.array(mean[1] - mean[0])], names=["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
-
-
-def _kept(counts: DataFrame, rate: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(keys ascending, their counts, counts of all keys together) of the keys with this share of the corpus."""
-    counts = cut(counts.groupBy("key").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target")), "lm-counts")
-    total = counts.agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target")).first()
-    total = np.array([total.n or 0, total.n_target or 0], np.float64)
-    table = counts.where(F.col("n") >= F.lit(max(2.0, rate * float(total[0])))).toArrow()  # 1 / rate rows at most
-    key = np.asarray(table["key"].combine_chunks(), np.int64)
-    order = np.argsort(key)
-    both = np.stack([np.asarray(table[c].combine_chunks(), np.float64)[order] for c in ("n", "n_target")])
-    return key[order], both, total
-
-
-def fit(rows: DataFrame) -> Model:
-    """rows: target (boolean) and text of all documents."""
-    rows = rows.select(F.col("target").cast("boolean"), F.col("text").cast("string"))
-    words, counts, total = _kept(rows.mapInArrow(partial(_count, model=None), COUNTS), WORD_RATE)
-    unknown = (total - counts.sum(axis=1))[:, None]
-    model = Model(words, np.hstack([counts, unknown]), np.zeros(0, np.int64), np.zeros((2, 0)))
-    pairs, pair_counts, _ = _kept(rows.mapInArrow(partial(_count, model=model), COUNTS), PAIR_RATE)
-    return Model(words, model.word_counts, pairs, pair_counts)
-
-
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, n_tokens, target_loss, background_loss and score of every row."""
-    rows = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
-    return rows.mapInArrow(partial(_score, model=model), "doc_id bigint, n_tokens bigint, target_loss double, background_loss double, score double")
+        for slab, docs in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            rows, row, key = _unpacked(docs.as_py())
+            yield _question(slab, key, _target(rows)[row], buckets)
+
+
+def _ask_pairs(part: pa.Table, words: pa.Table, buckets: int) -> pa.Table:
+    """A slab and the answers on its words to its question for pairs."""
+    rows, row, key = _unpacked(part["docs"][0].as_py())
+    inner = _inner(row)
+    pairs = _pair_keys(key, _heard(words)[0][_dealt(key, buckets)[2]], inner)
+    return pa.Table.from_batches([_question(part["slab"][0].as_py(), pairs, _target(rows)[row[inner]], buckets)])
+
+
+@dataclass
+class Totals:
+    """Number of known words, and counts of all words and of those that aren't known, in all and in target documents."""
+
+    known: int
+    total: np.ndarray
+    unknown: np.ndarray
+
+    @classmethod
+    def of(cls, answers: DataFrame) -> Totals:
+        x = answers.agg(*(F.coalesce(F.sum(k), F.lit(0)).alias(k) for k in STATED)).first()
+        total, kept = np.array([[x.total], [x.total_target]], np.float64), np.array([[x.kept], [x.kept_target]], np.float64)
+        return cls(x.known, total, total - kept)
+
+
+def _score(part: pa.Table, answers: pa.Table, buckets: int, totals: Totals) -> pa.Table:
+    """A slab and the answers on its words and pairs to losses and scores of its documents."""
+    rows, row, key = _unpacked(part["docs"][0].as_py())
+    of_pairs = answers["of_pairs"].combine_chunks() if len(answers) else pa.array([], pa.bool_())
+    words, pairs = answers.filter(pa.array(~np.asarray(of_pairs))), answers.filter(of_pairs)
+    known = _heard(words)[:, _dealt(key, buckets)[2]]
+    inner = _inner(row)
+    pair_count = _heard(pairs)[:, _dealt(_pair_keys(key, known[0], inner), buckets)[2]]
+    count = np.where(known[0] > 0, known, totals.unknown)
+    p = (1 - PAIR_WEIGHT) * (count + 1) / (totals.total + totals.known + 1)
+    p[:, inner] += PAIR_WEIGHT * pair_count / np.maximum(count[:, inner - 1], 1)
+    n = np.bincount(row, minlength=len(rows))
+    background, target = (np.bincount(row, -np.log(x), minlength=len(rows)) / np.maximum(n, 1) for x in p)
+    return pa.table([rows["doc_id"], pa.array(n, pa.int64()), pa.array(target), pa.array(background), pa.array(target - background)], names=["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
+
+
+def score(rows: DataFrame) -> DataFrame:
+    """rows: doc_id, text and target (boolean). doc_id, n_tokens, target_loss, background_loss and score of every row."""
+    rows = rows.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"), F.col("target").cast("boolean"))
+    parts = cut(rows.mapInArrow(_packed, PARTS), "lm-slabs")
+    buckets = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), parts.count() // SLABS_A_BUCKET)
+    answered = lambda asked, name: cut(asked.groupBy("bucket").applyInArrow(_answer, ANSWERED), name)
+    with_slab = lambda answers: parts.groupBy("slab").cogroup(answers.groupBy("slab"))
+    words = answered(parts.mapInArrow(partial(_ask_words, buckets=buckets), ASKED), "lm-words")
+    totals = Totals.of(words)
+    words = words.select("slab", "bucket", "n", "n_target", F.lit(False).alias("of_pairs"))
+    pairs = answered(with_slab(words).applyInArrow(lambda part, own: _ask_pairs(part, own, buckets), ASKED), "lm-pairs")
+    both = words.unionByName(pairs.select("slab", "bucket", "n", "n_target", F.lit(True).alias("of_pairs")))
+    return with_slab(both).applyInArrow(lambda part, own: _score(part, own, buckets, totals), SCORED)
 
 
 def cross_entropy_difference(docs: DataFrame, targets: DataFrame) -> DataFrame:
@@ -176,5 +217,4 @@ def cross_entropy_difference(docs: DataFrame, targets: DataFrame) -> DataFrame:
     joined by sorting at every size."""
     ids = targets.select(F.col("doc_id").cast("bigint").alias("_target_id")).where("_target_id is not null").distinct()
     text = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = cut(text.join(ids.hint("merge"), F.col("doc_id") == F.col("_target_id"), "left").select("doc_id", "text", F.col("_target_id").isNotNull().alias("target")), "lm-rows")
-    return score(rows, fit(rows))
+    return score(text.join(ids.hint("merge"), F.col("doc_id") == F.col("_target_id"), "left").select("doc_id", "text", F.col("_target_id").isNotNull().alias("target")))
