@@ -196,6 +196,22 @@ def test_pages(spark):
     assert html.extract(rows.where("page_id > 9")).count() == 0
 
 
+def test_what_is_not_closed_does_not_eat_the_page():
+    for page, want in [
+        ("<html><head><title>x</title><body><article><p>Hello</p></article>", ["Hello"]),
+        ("<head><meta charset=utf-8><link rel=icon><style>a{}</style><p>A", ["A"]),
+        ("<head><script>1</script><noscript><img>no</noscript></head><body>B", ["B"]),
+        ("<html><head><title>x</title>text", ["text"]),
+        ('<svg><path d="1"><text>t</text><p>Hello', ["Hello"]),
+        ("<div>a<svg><g>g</div>b", ["a", "b"]),
+        ("<math><mi>x<div>d", ["d"]),
+        ("<object data=x><p>o", ["o"]),
+        ("<template><p>t", ["t"]),
+        ("<p>q<svg><p>in</p></svg>z<object><p>in</object>", ["qz"]),
+    ]:
+        assert html.parse(page).texts == want
+
+
 def test_labeller_on_pages_it_has_not_seen():
     made = list(html.pages_grammar(99, 150))
     found = html.trained().content([b for b, _ in made])

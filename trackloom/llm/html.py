@@ -9,7 +9,8 @@ The labeller is trained where it is used, on pages made by a seeded grammar (pag
 labels: articles in various dress among menus, headers, footers, sidebars, notices, adverts, forms and reader comments.
 
 Nulls: a page that is null, empty or without content has the text "". Unclosed and stray tags are taken as browsers do,
-roughly: an open paragraph or list item ends where the next one or its parent ends, and elements end with the page.
+roughly: an open paragraph or list item ends where the next one or its parent ends, and elements end with the page; a head ends
+where something begins that it can't hold, and an unclosed svg or math where an element of HTML begins.
 Repeated pages give equal rows, and a page's result doesn't depend on other pages. Pages are read whole. An empty table
 gives an empty result. Other columns than page_id, url and html aren't read.
 """
@@ -31,7 +32,12 @@ from pyspark.sql import functions as F
 from trackloom.llm import text as tx
 
 #: Elements by how HTML treats them.
-SKIPPED = ("script", "style", "template", "svg", "math", "iframe", "object", "head", "title")
+SKIPPED = ("script", "style", "iframe", "title")  # their text runs to their end tag, or else to the page's end
+#: Left out with what is in them where they are closed. Where not, what follows them is read.
+ENCLOSED = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in ("template", "svg", "math", "object")}
+#: Elements that don't end a head; any other tag, or text, does.
+IN_HEAD = frozenset("base basefont bgsound link meta noscript noframes template".split())
+NO_SCRIPT = re.compile(r"</noscript\s*>", re.I)
 VOID = frozenset("area base br col embed hr img input link meta source track wbr param".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var ruby rt rp wbr img".split())
 #: An open element of a kind ends where one of these begins.
@@ -42,6 +48,8 @@ ENDED_BY = {
 }
 #: Such an end does not reach beyond these.
 WALLS = frozenset("ul ol dl table select article section div main aside nav header footer form body".split())
+#: A drawing or formula that isn't closed ends where one of these begins.
+BREAKOUT = WALLS | ENDED_BY["p"] | frozenset("b big body br center code em embed i img menu s small span strong strike sub sup tt u var caption tbody tfoot thead a button label html head noscript figcaption summary dialog iframe".split())
 
 _SKIP = "|".join(SKIPPED)
 MARKUP = re.compile(rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<({_SKIP})(?:\s[^>]*)?(?:/>|>.*?(?:</\1\s*>|\Z))|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S | re.I)
@@ -100,6 +108,8 @@ def parse(page: str) -> Blocks:
     pieces: list[str] = []
     link = links = 0
     at = 0
+    head = foreign = False  # in a head; in a drawing or formula that isn't closed
+    unclosed: set[str] = set()  # elements with no end tag further on
 
     def flush() -> None:
         nonlocal links
@@ -115,9 +125,10 @@ def parse(page: str) -> Blocks:
             pieces.clear()
         links = 0
 
-    for found in MARKUP.finditer(page):
-        if found.start() > at:
+    while found := MARKUP.search(page, at):
+        if found.start() > at and not foreign:
             piece = page[at : found.start()]
+            head = head and not piece.strip()
             pieces.append(piece)
             if link:
                 links += len(piece)
@@ -126,6 +137,28 @@ def parse(page: str) -> Blocks:
         if tag is None:
             continue
         tag = tag.lower()
+        if foreign:
+            foreign = tag not in (tags if found[2] else BREAKOUT) and not (found[2] and tag in ("svg", "math"))
+            if foreign:
+                continue
+        if tag == "head":
+            head = not found[2] and not out.texts and "".join(pieces).strip() == "" and set(tags) <= {"html"}
+            continue
+        if head and tag in IN_HEAD and tag not in ENCLOSED:
+            if tag == "noscript" and not found[2]:
+                end = NO_SCRIPT.search(page, at)
+                head, at = end is not None, end.end() if end else at
+            continue
+        if tag in ENCLOSED and not found[2]:
+            end = None if found[4].endswith("/") or tag in unclosed else ENCLOSED[tag].search(page, at)
+            if end:
+                at = end.end()
+            elif not found[4].endswith("/"):
+                unclosed.add(tag)
+                flush()
+                foreign = tag in ("svg", "math")
+            continue
+        head = head and bool(found[2])
         if tag in INLINE:
             if tag == "a":
                 link = not found[2]
@@ -150,7 +183,8 @@ def parse(page: str) -> Blocks:
             if not found[4].endswith("/"):
                 tags.append(tag)
                 names.append(_marks(tag, found[4]) if found[4] else (tag,))
-    pieces.append(page[at:])
+    if not foreign:
+        pieces.append(page[at:])
     flush()
     return out
 
