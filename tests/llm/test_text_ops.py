@@ -186,6 +186,17 @@ def test_secret_spans_and_ownership(docs):
     assert secrets.report(docs([])).count() == 0
 
 
+@pytest.mark.parametrize("source", ["hot", None])
+def test_a_value_copied_through_one_source_is_an_example(docs, source):
+    copied, own = "0a1b2c3d4e5f60718293", "a9b8c7d6e5f4a3b2c1d0"
+    rows = [(k, f"key {copied} here", None, source) for k in range(11)] + [(20 + k, f"key {own} here", None, source) for k in range(10)]
+    out = {r.doc_id: r for r in secrets.report(docs(rows)).collect()}
+    assert all((out[k].n_live, out[k].n_example, out[k].most_owners) == (0, 1, 1) for k in range(11))
+    assert all((out[k].n_live, out[k].n_example) == (1, 0) for k in range(20, 30))
+    clean = {r.doc_id: r.text for r in secrets.redact(docs(rows)).collect()}
+    assert all(clean[d] == (t if d < 20 else "key <secret> here") for d, t, *_ in rows)
+
+
 def test_pages(spark):
     page = """<html><head><title>T</title><script>var t="</p>";</script></head><body><header><a href="/">Site</a></header><nav><ul><li><a>Home</a></li></ul></nav>
         <div class="cookie-banner">We use cookies.</div><main><article><h1>Real &amp; title</h1><p>First&nbsp; para<p>Second <a href="x">link</a><br>para</p><form><button>Go</button></form></article>

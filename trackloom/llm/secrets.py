@@ -2,8 +2,8 @@
 
 scan() finds candidate spans of every kind in whole texts, with code-point positions, by splitting a text at the matches
 of a pattern: the lengths of the pieces and of the matches add up to positions. judge() counts, over the corpus, the
-distinct repositories and owners of each candidate value (by its SHA-256): a value of many owners is a copied example,
-one of few owners that isn't a placeholder looks live. redact() writes a mark over live values.
+distinct repositories and owners of each candidate value (by its SHA-256): a value of many owners, or of many
+repositories however few their owners, is a copied example; one of few of both that isn't a placeholder looks live. redact() writes a mark over live values.
 
 Nulls: a null text is an empty one; a null owner or repository counts as one of its own. Repeated rows are rows of their
 own and don't add owners or repositories. Spans are ordered by start, then kind as in KINDS. An empty table gives an
@@ -49,6 +49,8 @@ SPAN = "struct<start:bigint,kind_no:int,end:bigint,from:bigint,hash:string,fille
 #: Values that stand for a secret: words of placeholders, or one character again and again.
 FILLER = r"(?i)example|sample|dummy|changeme|placeholder|your_|xxxx|0123456789abcdef|^(.)\1+$"
 MARK = "<secret>"
+#: Most owners and most repositories of a value that looks live.
+OWNERS, REPOSITORIES = 3, 10
 
 
 def spans(text: Column, kind: Kind, number: int) -> Column:
@@ -91,12 +93,12 @@ def scan(docs: DataFrame, owner: str, repository: str, keep: list[str]) -> DataF
     )
 
 
-def judge(scanned: DataFrame, owners: int = 3) -> DataFrame:
-    """_secret_row and its spans with `live`: the value has at most so many owners and is no placeholder."""
+def judge(scanned: DataFrame, owners: int = OWNERS, repositories: int = REPOSITORIES) -> DataFrame:
+    """_secret_row and its spans with `live`: the value has at most so many owners and repositories and is no placeholder."""
     rows = scanned.where(F.size("_secret_spans") > 0).select("_secret_row", "_secret_owner", "_secret_repository", F.explode("_secret_spans").alias("span"))
     counted = rows.groupBy(F.col("span.hash").alias("hash")).agg(F.count_distinct("_secret_owner").alias("n_owners"), F.count_distinct("_secret_repository").alias("n_repositories"))
     counted = cut(counted, "secret-counts")
-    live = (F.col("n_owners") <= owners) & ~F.col("span.filler")
+    live = (F.col("n_owners") <= owners) & (F.col("n_repositories") <= repositories) & ~F.col("span.filler")
     judged = rows.join(counted, rows["span"]["hash"] == counted["hash"])
     return judged.groupBy("_secret_row").agg(F.array_sort(F.collect_list(F.struct(F.col("span.start").alias("start"), F.col("span.kind_no").alias("kind_no"), F.col("span.end").alias("end"), F.col("span.from").alias("from"), live.alias("live"), "n_owners", "n_repositories"))).alias("spans"))
 
@@ -127,13 +129,13 @@ def report(docs: DataFrame, owner: str = "source", repository: str = "doc_id") -
     )
 
 
-def redact(docs: DataFrame, owner: str = "source", repository: str = "doc_id", owners: int = 3) -> DataFrame:
+def redact(docs: DataFrame, owner: str = "source", repository: str = "doc_id", owners: int = OWNERS, repositories: int = REPOSITORIES) -> DataFrame:
     """docs with MARK in place of every live value; n_chars, where docs has it, follows the text."""
     suspect = F.lit(False)
     for kind in KINDS:
         suspect = suspect | F.coalesce(F.col("text").rlike(kind.quick), F.lit(False))
     some = scan(docs.where(suspect), owner, repository, docs.columns)
-    judged = judge(some, owners).select(F.col("_secret_row").alias("_judged_row"), F.filter("spans", lambda s: s["live"]).alias("_secret_live"))
+    judged = judge(some, owners, repositories).select(F.col("_secret_row").alias("_judged_row"), F.filter("spans", lambda s: s["live"]).alias("_secret_live"))
     joined = some.join(judged, F.col("_secret_row") == F.col("_judged_row"), "left")
 
     def step(done: Column, s: Column) -> Column:
