@@ -132,6 +132,20 @@ def test_decontamination(spark, docs):
     assert decontaminate.find(docs([]), bench).count() == 0 and decontaminate.clean(docs(rows), bench.where("item_id > 900")).count() == len(rows)
 
 
+def test_many_short_items_are_all_found(spark):
+    n = (1 << 18) + 5_000
+    name = lambda k: "".join(chr(97 + int(x)) for x in f"{k * 7_919 % 1_000_003:09d}") + "x" * (k % 3)
+    asked = [*range(0, n, 30_011), n - 2, n - 1]
+    raw = np.frombuffer("".join(f"{name(k)}\n" for k in asked).encode(), np.uint8)
+    offsets = np.concatenate([[0], np.cumsum([len(name(k)) + 1 for k in asked])])
+    found = set()
+    pdf = [(k, name(k)) for k in range(n)]
+    for index in decontaminate.blocks(spark.createDataFrame(pdf, "item_id bigint, text string")):
+        row, item = decontaminate.scan(raw, offsets, index)[:2]
+        found |= {(asked[a], int(index.ids[b])) for a, b in zip(row, item, strict=True)}
+    assert {(k, k) for k in asked} <= found
+
+
 def test_alignment_is_the_edit_distance():
     r = random.Random(7)
     for _ in range(30):

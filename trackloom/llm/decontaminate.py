@@ -6,8 +6,8 @@ in the item) differ by e at most. scan() counts the shared q-grams of each item
 one holds any such range of diagonals, retains the bands that meet the bound, and verifies each by a banded alignment.
 
 The edit budget e is rate * m, but never so much that the bound falls under 1; items of fewer than Q characters can't
-share a q-gram and are never found. Benchmarks are compared in blocks of at most BLOCK characters, which bounds what is
-sent to executors; each block passes over all documents.
+share a q-gram and are never found. Benchmarks are compared in blocks of about BLOCK characters and at most ITEMS items,
+which bounds what is sent to executors; each block passes over all documents.
 
 Nulls: a null or empty text holds no item, a null or empty item is in no text; rows with null ids are compared too.
 Repeated rows are reported one by one. Of an item's regions in a text, the one with the fewest edits is reported, the
@@ -32,6 +32,9 @@ from trackloom.llm.tokens import NUMBER, classes
 Q = 9
 RATE = 0.09
 BLOCK = 4_000_000
+#: A band's key holds the numbers of a row, an item and a band in so many bits.
+ROW_BITS, ITEM_BITS, BAND_BITS = 20, 18, 26
+ITEMS = 1 << ITEM_BITS
 #: Alignments made at once.
 BATCH = 256
 START_BITS = 24
@@ -88,6 +91,8 @@ class Index:
 
     @classmethod
     def of(cls, items: list[tuple[int, str]], rate: float = RATE) -> Index:
+        if len(items) > ITEMS:
+            raise ValueError(f"{len(items)} items in a block, which has {ITEMS} at most")
         ids, codes = [], []
         for item_id, body in items:
             raw = np.frombuffer((body or "").encode(), np.uint8)
@@ -131,14 +136,16 @@ class Index:
         out = []
         for shift in (0, 1):  # bands of two halves, by one half apart
             band = (diagonal + shift * half) // (2 * half)
-            key = np.sort((row.astype(np.uint64) << np.uint64(44)) | (item.astype(np.uint64) << np.uint64(26)) | band.astype(np.uint64))
+            if len(row) and (row.max() >> ROW_BITS or item.max() >> ITEM_BITS or band.max() >> BAND_BITS):
+                raise ValueError(f"row {row.max()}, item {item.max()} or band {band.max()} doesn't fit in a key")
+            key = np.sort((row.astype(np.uint64) << np.uint64(ITEM_BITS + BAND_BITS)) | (item.astype(np.uint64) << np.uint64(BAND_BITS)) | band.astype(np.uint64))
             head = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
             count, key = np.diff(np.append(head, len(key))), key[head]
-            i = ((key >> np.uint64(26)) & np.uint64((1 << 18) - 1)).astype(np.int64)
+            i = ((key >> np.uint64(BAND_BITS)) & np.uint64(ITEMS - 1)).astype(np.int64)
             good = count >= self.least[i]
             key, i, count = key[good], i[good], count[good]
-            low = (key & np.uint64((1 << 26) - 1)).astype(np.int64) * 2 * (self.edits[i] + 1) - shift * (self.edits[i] + 1) - self._margin
-            out.append(((key >> np.uint64(44)).astype(np.int64), i, low, count))
+            low = (key & np.uint64((1 << BAND_BITS) - 1)).astype(np.int64) * 2 * (self.edits[i] + 1) - shift * (self.edits[i] + 1) - self._margin
+            out.append(((key >> np.uint64(ITEM_BITS + BAND_BITS)).astype(np.int64), i, low, count))
         row, item, low, count = (np.concatenate(x) for x in zip(*out, strict=True))
         order = np.lexsort((low, item, row))
         row, item, low, count = (x[order] for x in (row, item, low, count))
@@ -219,13 +226,15 @@ def _keep(batches: Iterator[pa.RecordBatch], index: Index, column: str) -> Itera
 
 
 def blocks(benchmark: DataFrame, most: int = BLOCK) -> Iterator[Index]:
-    """Indexes of the items, block by block, each of about most characters."""
-    items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
-    total = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    count = -(-total // most)
+    """Indexes of the items, block by block, each of about most characters and at most ITEMS items. Texts of fewer than
+    Q characters are never found, so they are left out before they are dealt."""
+    items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text")).where(F.length("text") >= Q)
+    total = items.agg(F.sum(F.length("text")).alias("size"), F.count(F.lit(1)).alias("n")).first()
+    count = max(-(-(total.size or 0) // most), -(-total.n * 2 // ITEMS))  # blocks aren't equal, so half of ITEMS on average
     for k in range(count):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(count)) == k).orderBy("item_id", "text").collect()  # bounded by the block
-        yield Index.of([(r.item_id, r.text) for r in rows])
+        for at in range(0, len(rows), ITEMS):  # more than one only if repeated rows fill a block
+            yield Index.of([(r.item_id, r.text) for r in rows[at : at + ITEMS]])
 
 
 def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
