@@ -94,6 +94,21 @@ def test_folds_keep_videos_whole(spark):
     assert len(rows) == 12 and {r.fold for r in rows} == {0, 1, 2, 3, 4}
 
 
+def test_run_pauses_at_its_output_or_the_disk_reserve(spark, tmp_path):
+    root = str(tmp_path / "run")
+    for budget in (run.Budget(output_bytes=1), run.Budget(reserve_bytes=1)):
+        budget.check(spark, root)
+    run.write_json(spark, f"{root}/section=1/contract.json", {"f1": 1.0})
+
+    def plan():
+        raise AssertionError("no task may begin")
+
+    for budget in (run.Budget(output_bytes=1), run.Budget(reserve_bytes=1 << 62)):
+        with pytest.raises(run.Paused):
+            run.train([(run.Task(1, "single", "rear"), plan)], root, spark, budget=budget)
+    run.Budget(output_bytes=1 << 40, reserve_bytes=1).check(spark, root)
+
+
 def test_run_resumes_and_refuses_other_contracts(spark, tables, tmp_path):
     _, tracking, notes = tables
     pos = tracking.where("mouse_id = 1 and bodypart = 'nose'").select("video_id", "video_frame", "x", "y")

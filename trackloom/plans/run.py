@@ -34,18 +34,25 @@ class ContractError(ValueError):
 
 @dataclass
 class Budget:
-    """Limits of one run."""
+    """Limits of one run. output_bytes is the size of all that is kept in its folder, reserve_bytes what has to stay
+    free in the folder's store; both are looked at before a task, so the last one may go beyond them."""
 
     tasks: int | None = None
     hours: float | None = None
+    output_bytes: int | None = None
+    reserve_bytes: int | None = None
     began: float = field(default_factory=time.monotonic)
     done: int = 0
 
-    def check(self) -> None:
+    def check(self, spark: SparkSession, root: str) -> None:
         if self.tasks is not None and self.done >= self.tasks:
             raise Paused(f"{self.done} tasks are done")
         if self.hours is not None and time.monotonic() - self.began >= self.hours * 3600:
             raise Paused(f"{self.hours} hours are over")
+        if self.output_bytes is not None and (used := _used(spark, root)) >= self.output_bytes:
+            raise Paused(f"{used} bytes are kept, of {self.output_bytes}")
+        if self.reserve_bytes is not None and (free := _free(spark, root)) < self.reserve_bytes:
+            raise Paused(f"{free} bytes are free, less than the reserve of {self.reserve_bytes}")
 
 
 @dataclass(frozen=True)
@@ -64,6 +71,21 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
+def _used(spark: SparkSession, path: str) -> int:
+    """Bytes of the files in a folder; 0 if it isn't there."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(p).getLength() if _exists(spark, path) else 0
+
+
+def _free(spark: SparkSession, path: str) -> int:
+    """Bytes that the store of a folder has left, where it tells; the folder need not be there."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    while not fs.exists(p) and p.getParent() is not None:
+        p = p.getParent()
+    return fs.getStatus(p).getRemaining()
+
+
 def write_json(spark: SparkSession, path: str, value: dict) -> None:
     """One JSON file, put in place by renaming."""
     conf, jvm = spark._jsc.hadoopConfiguration(), spark._jvm
@@ -115,7 +137,7 @@ def train(tasks: list[tuple[Task, Callable[[], tuple[DataFrame, list[str]]]]], r
     for task, plan in tasks:
         folder = f"{root}/{task.folder}"
         if not _exists(spark, f"{folder}/contract.json"):
-            budget.check()
+            budget.check(spark, root)
             budget.done += 1
         rows, features = plan()
         out.append(asdict(task) | train_task(rows, features, trees or model.Trees(), folds, folder))
