@@ -6,18 +6,23 @@ the second collection: 2 * SIDES * WIDTH minhashes do the work of SIDES * SIDES
 similarity s shares a table unless it misses all groups of a collection: 2 * (1 - s ** WIDTH) ** SIDES at most, 1e-3
 at 0.85 with the defaults.
 
-Documents with equal sets are one representative from the start. Candidates are confirmed on the full sets, in two steps, and no bucket is ever
+Documents with equal sets are one representative from the start. Two documents share a table key only if they share both
+of its halves, so halves are counted first, and keys are made of the halves that occur twice or more. Candidates are confirmed on the full sets, in two steps, and no bucket is ever
 expanded into rows of pairs. First, each bucket's members are compared to its smallest one (the pivot) and components are
 formed, which is all that a group of true copies needs. A bucket whose other members (pairs with
 the pivot are decided) still have more than one component is then dealt into chunks of about CHUNK shingles or MEMBERS members; every two chunks meet in one task, where the sizes of all intersections come
 from products of incidence matrices, and only links that join two components come out. So every candidate is decided
-exactly and a task's memory is bounded by two chunks; a bucket of many chunks sends each member to each chunk.
+exactly and a task's memory is bounded by two chunks; a bucket of many chunks sends each member to each chunk. Open
+buckets whose keys have the same first half are dealt as one, since their members are largely the same.
+
+Full sets are made anew from the texts of candidates. A sieve (one bit array, of SIEVE words at most at any size) tells
+most other texts apart where they are read, so they aren't shuffled; what it lets through besides joins nothing.
 
 A candidate of the first step first has to fit in size, and its signatures have to agree in a share that a linked pair falls short of
 with odds under 1e-6 (6 standard deviations).
 
 Nulls: a text that is null, or without words, has an empty set and links with nothing; a null doc_id isn't allowed and
-such rows are left out. Repeated doc_ids are one document with several rows if their sets are equal; rows come back one
+such rows are left out. Rows with one doc_id are one document; if their sets differ, it is linked where any of them is. Rows come back one
 by one. Other columns are not read by link(); dedup() keeps them.
 """
 
@@ -34,6 +39,7 @@ from pyspark.sql import functions as F
 
 from trackloom.llm import text as tx
 from trackloom.llm.components import components
+from trackloom.llm.sieve import Sieve
 from trackloom.llm.state import cut
 
 WORDS = 5
@@ -109,29 +115,39 @@ def sign(docs: DataFrame, banding: Banding) -> DataFrame:
     return rows.mapInArrow(partial(_sign, hashes=banding.hashes), "doc_id bigint, n_shingles bigint, set_a bigint, set_b bigint, signature binary")
 
 
-def _keys(batches: Iterator[pa.RecordBatch], banding: Banding) -> Iterator[pa.RecordBatch]:
-    """(rep, signature) to (rep, keys): a key for each pair of a group of the first and of the second collection."""
+def _halves(batches: Iterator[pa.RecordBatch], banding: Banding) -> Iterator[pa.RecordBatch]:
+    """(rep, signature) to (rep, halves): a hash of each group, first those of the first and then of the second collection."""
     m, w = banding.sides, banding.width
-    salt = tx.seeds(m * m, 29).reshape(1, m, m)
+    salt = tx.seeds(2 * m, 29)
     for batch in batches:
         if not len(batch):
             continue
-        signature = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(len(batch), 2, m, w).astype(np.uint64)
-        group = np.zeros(signature.shape[:3], np.uint64)
+        signature = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(len(batch), 2 * m, w).astype(np.uint64)
+        group = np.broadcast_to(salt, signature.shape[:2])
         for k in range(w):
             group = tx.mix(group * np.uint64(3) + signature[..., k] + np.uint64(1))
-        keys = tx.mix((group[:, 0, :, None] + salt) ^ (group[:, 1, None, :] * np.uint64(0x9E3779B97F4A7C15))).reshape(len(batch), m * m)
-        ends = pa.array(np.arange(0, (len(batch) + 1) * m * m, m * m, dtype=np.int32))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends, pa.array(keys.view(np.int64).ravel()))], names=["rep", "keys"])
+        ends = pa.array(np.arange(0, (len(batch) + 1) * 2 * m, 2 * m, dtype=np.int32))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends, pa.array(group.view(np.int64).ravel()))], names=["rep", "halves"])
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text) to (rep, shingles)."""
+def _sets(batches: Iterator[pa.RecordBatch], wanted: Sieve) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text) to (rep, shingles) of the rows that the sieve lets through; of equal rows in a task, one."""
+    seen: set[tuple[int, int, int]] = set()
     for batch in batches:
+        batch = batch.filter(pa.array(wanted.holds(np.asarray(batch.column(0)))))
         for low, high, data, offsets in tx.slabs(batch.column(1)):
             row, value = shingles(data, offsets)
-            ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=high - low))]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.ListArray.from_arrays(pa.array(ends), pa.array(value.view(np.int64)))], names=["rep", "shingles"])
+            reps, size = batch.column(0).slice(low, high - low), np.bincount(row, minlength=high - low)
+            sums = np.zeros(high - low, np.uint64)
+            some = np.flatnonzero(size)
+            sums[some] = np.add.reduceat(tx.mix(value), (np.cumsum(size) - size)[some]) if len(some) else 0
+            fresh = np.zeros(high - low, bool)
+            for k, name in enumerate(zip(reps.to_pylist(), size.tolist(), sums.tolist(), strict=True)):
+                fresh[k] = name not in seen
+                seen.add(name)
+            ends = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+            made = pa.RecordBatch.from_arrays([reps, pa.ListArray.from_arrays(pa.array(ends), pa.array(value.view(np.int64)))], names=["rep", "shingles"])
+            yield made.filter(pa.array(fresh))
 
 
 def _agree(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
@@ -166,11 +182,10 @@ class Linker:
         linked = pairs.join(one, "a").join(two, "b").where(both * 1000 >= (F.size("sa") + F.size("sb") - both) * self.per_mille)
         return linked.select("a", "b").distinct()
 
-
     def sets(self, reps: DataFrame) -> DataFrame:
-        """(rep, shingles) of the representatives in reps."""
-        texts = self.docs.select(F.col("doc_id").cast("bigint").alias("rep"), F.col("text").cast("string").alias("text"))
-        return cut(texts.join(reps.distinct(), "rep", "left_semi").mapInArrow(_sets, "rep bigint, shingles array<bigint>").dropDuplicates(["rep"]), "near-sets")
+        """(rep, shingles) of the representatives in reps, and of a few documents more."""
+        texts = self.docs.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("rep"), F.col("text").cast("string").alias("text"))
+        return cut(texts.mapInArrow(partial(_sets, wanted=Sieve.of(reps.distinct(), "rep")), "rep bigint, shingles array<bigint>"), "near-sets")
 
     def block_links(self, members: DataFrame) -> DataFrame:
         """Links (a, b) that join components of buckets; members: key, rep, comp."""
@@ -248,34 +263,47 @@ def _blocks(batches: Iterator[pa.RecordBatch], per_mille: int) -> Iterator[pa.Re
         yield done()
 
 
+def candidates(reps: DataFrame, banding: Banding) -> tuple[DataFrame, DataFrame]:
+    """Representatives with a half that others have too, and members (key, half, rep, pivot) of the tables' buckets of two or
+    more; half is the first one of the key, and pivot the smallest member."""
+    made = reps.select("rep", "signature").mapInArrow(partial(_halves, banding=banding), "rep bigint, halves array<bigint>")
+    halves = made.select("rep", F.posexplode("halves").alias("slot", "half"))
+    shared = halves.groupBy("half").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("half")
+    own = halves.join(shared, "half", "left_semi").groupBy("rep").agg(F.collect_set(F.struct("slot", "half")).alias("halves"))  # 2 * sides at most
+    side = lambda test: F.transform(F.filter("halves", lambda x: test(x["slot"] < banding.sides)), lambda x: x["half"])
+    own = own.select("rep", side(lambda c: c).alias("first"), side(lambda c: ~c).alias("second")).where((F.size("first") > 0) & (F.size("second") > 0))
+    live = cut(reps.select("rep", "n_shingles", "signature").join(own, "rep"), "near-live")
+    pairs = F.flatten(F.transform("first", lambda a: F.transform("second", lambda b: F.struct(F.xxhash64(a, b).alias("key"), a.alias("half")))))
+    keys = live.select("rep", F.explode(pairs).alias("of")).select("rep", "of.key", "of.half").distinct()
+    buckets = keys.groupBy("key").agg(F.min("rep").alias("pivot"), F.max("rep").alias("last")).where("pivot < last").drop("last")
+    return live.drop("first", "second"), cut(keys.join(buckets, "key"), "near-members")
+
+
 def link(docs: DataFrame, similarity: float = 0.85, banding: Banding | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
     per_mille = round(similarity * 1000)
     banding = banding or Banding.of(similarity)
     signed = cut(sign(docs, banding), "near-signatures")
     by_set = ["set_a", "set_b", "n_shingles"]
-    copies = signed.where("n_shingles > 0").groupBy(*by_set).agg(F.min("doc_id").alias("rep"))
-    reps = cut(signed.join(copies.withColumnRenamed("rep", "doc_id"), [*by_set, "doc_id"], "left_semi").dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "rep"), "near-reps")
-    linker = Linker(docs, reps, banding, per_mille)
-    keys = reps.select("rep", "signature").mapInArrow(partial(_keys, banding=banding), "rep bigint, keys array<bigint>").select("rep", F.explode("keys").alias("key"))
-    buckets = keys.groupBy("key").agg(F.min("rep").alias("pivot"), F.count(F.lit(1)).alias("members")).where("members > 1").drop("members")
-    members = cut(keys.join(buckets, "key"), "near-members")
-    links = cut(linker.links(members.where("rep > pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b"))), "near-links")
+    least = F.min(F.struct(F.col("doc_id").alias("rep"), "signature")).alias("least")
+    reps = cut(signed.where("n_shingles > 0").groupBy(*by_set).agg(least).select(*by_set, "least.rep", "least.signature"), "near-reps")
+    live, members = candidates(reps, banding)
+    linker = Linker(docs, live, banding, per_mille)
+    others = members.where("rep > pivot")
+    links = cut(linker.links(others.select(F.col("pivot").alias("a"), F.col("rep").alias("b"))), "near-links")
     comps = components(links)
-    more = cut(linker.block_links(open_buckets(members.where("rep > pivot").select("key", "rep"), comps)), "near-links")
+    more = cut(linker.block_links(open_buckets(others.select("key", "half", "rep"), comps)), "near-links")
     if not more.isEmpty():
         comps = components(links.unionByName(more))
-    of_set = copies.join(comps, copies["rep"] == comps["node"], "left").select(*by_set, F.coalesce("comp", "rep").alias("component_id"))
+    of_set = reps.select(*by_set, "rep").join(comps, F.col("rep") == F.col("node"), "left").select(*by_set, F.coalesce("comp", "rep").alias("component_id"))
     return signed.select("doc_id", *by_set).join(of_set, by_set, "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def open_buckets(members: DataFrame, comps: DataFrame) -> DataFrame:
-    """Members (key, rep, comp) of the buckets that have more than one component; of buckets with the same members, one."""
-    named = members.join(comps, members["rep"] == comps["node"], "left").select("key", "rep", F.coalesce("comp", "rep").alias("comp"))
-    same = [F.bit_xor(F.xxhash64("rep", F.lit(k))).alias(f"same_{k}") for k in (1, 2)]
-    several = named.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.count(F.lit(1)).alias("n"), *same).where("least < most")
-    several = several.groupBy("n", "same_1", "same_2").agg(F.min("key").alias("key")).select("key")
-    return cut(named.join(several, "key", "left_semi"), "near-open")
+    """Members (key, rep, comp) of the buckets that have more than one component, with the first half as the key."""
+    named = members.join(comps, members["rep"] == comps["node"], "left").select("key", "half", "rep", F.coalesce("comp", "rep").alias("comp"))
+    several = named.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least < most").select("key")
+    return cut(named.join(several, "key", "left_semi").select(F.col("half").alias("key"), "rep", "comp").distinct(), "near-open")
 
 
 def dedup(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
