@@ -165,43 +165,57 @@ def test_alignment_is_the_edit_distance():
         assert list(got[4]) == ([min(row)] if min(row) <= index.edits[0] else [])
 
 
+class Counted:
+    """p(w | v) by counting, as lm says it."""
+
+    def __init__(self, docs, known):
+        name = lambda w: w if w in known else "?"
+        self.vocabulary = [*known, "?", "</s>"]
+        texts = [[*map(name, ws), "</s>"] for ws in docs if ws]
+        self.single = Counter(w for ws in texts for w in ws)
+        self.pairs = Counter(x for ws in texts for x in zip(ws, ws[1:], strict=False))
+        self.size = sum(self.single.values()) + len(self.vocabulary)
+
+    def p(self, v, w):
+        alone = (self.single[w] + 1) / self.size
+        return alone if v is None or not self.single[v] else 0.7 * self.pairs[v, w] / self.single[v] + 0.3 * alone
+
+
+def brute_losses(rows, good):
+    """(n_tokens, background loss, target loss) of rows (doc_id, text)."""
+    texts = [((t or "").lower().split(), d in good) for d, t in rows]
+    known = sorted(w for w, n in Counter(w for ws, _ in texts for w in ws).items() if n >= 2)
+    out = []
+    for k, (ws, _) in enumerate(texts):
+        others = texts[:k] + texts[k + 1 :]
+        models = [Counted([x for x, _ in others], known), Counted([x for x, g in others if g], known)]
+        for m in models:
+            for v in (None, "the", "?"):
+                assert abs(sum(m.p(v, w) for w in m.vocabulary) - 1) < 1e-9
+        named = [*(w if w in known else "?" for w in ws), "</s>"] if ws else []
+        out.append((len(ws), *(-sum(math.log(m.p(v, w)) for v, w in zip([None, *named], named, strict=False)) / (len(ws) + 1) for m in models)))
+    return out
+
+
 def test_cross_entropy_difference_equals_counting(spark, docs):
     r = random.Random(9)
     vocabulary = ["the", "of", "and", "cat", "dog", "tree", "sky"]
-    rows = [(k, " ".join(r.choices(vocabulary[: 4 if k % 2 else 7], k=r.randint(2, 60)))) for k in range(80)] + [(100, None), (101, ""), (102, "unseen words here"), (5, "The OF and")]
-    good = {k for k in range(80) if k % 2} | {5}
-    targets = spark.createDataFrame([(k,) for k in good], "doc_id bigint")
-    text = [((t or "").lower().split(), d in good) for d, t in rows]
-    uni = [Counter(w for ws, _ in text for w in ws), Counter(w for ws, g in text if g for w in ws)]
-    known = {w for w, n in uni[0].items() if n >= 2}
-    name = lambda w: w if w in known else "?"
-    pairs = [Counter((name(a), name(b)) for ws, g in text if m == 0 or g for a, b in zip(ws, ws[1:], strict=False)) for m in (0, 1)]
-    counts = [Counter(name(w) for w, n in u.items() for _ in range(n)) for u in uni]
-    for x in lm.cross_entropy_difference(docs(rows), targets).collect():
-        ws = [name(w) for w in next((t or "").lower().split() for d, t in rows if d == x.doc_id and len((t or "").split()) == x.n_tokens)]
-        loss = []
-        for m in (0, 1):
-            total = 0.0
-            for k, w in enumerate(ws):
-                p = 0.3 * (counts[m][w] + 1) / (sum(counts[m].values()) + len(known) + 1)
-                if k and pairs[0][ws[k - 1], w] >= 2:
-                    p += 0.7 * pairs[m][ws[k - 1], w] / max(counts[m][ws[k - 1]], 1)
-                total -= math.log(p)
-            loss.append(total / max(len(ws), 1))
-        assert abs(x.background_loss - loss[0]) < 1e-9 and abs(x.score - (loss[1] - loss[0])) < 1e-9
-    assert lm.cross_entropy_difference(docs([]), targets).count() == 0
+    rows = [(k, " ".join(r.choices(vocabulary[: 4 if k % 2 else 7], k=r.randint(2, 60)))) for k in range(40)] + [(100, None), (101, ""), (102, "unseen words here and the sky"), (5, "The OF and"), (103, "once the rare"), (5, "The OF and")]
+    good = {k for k in range(40) if k % 2} | {5, 103}
+    got = lm.cross_entropy_difference(docs(rows), spark.createDataFrame([(k,) for k in [*good, 5]], "doc_id bigint")).collect()
+    near = lambda x: (x[0], x[1], *(round(v, 9) for v in x[2:]))
+    want = [(d, *x) for (d, _), x in zip(rows, brute_losses(rows, good), strict=True)]
+    assert sorted(near((x.doc_id, x.n_tokens, x.background_loss, x.target_loss)) for x in got) == sorted(map(near, want))
+    assert all(abs(x.score - (x.target_loss - x.background_loss)) < 1e-12 for x in got)
+    assert lm.cross_entropy_difference(docs([]), spark.createDataFrame([], "doc_id bigint")).count() == 0
 
 
 def test_rare_words_and_pairs_are_known_in_a_large_corpus(spark, docs):
-    rows = [(k, "the " * 20_000) for k in range(20)] + [(100, "alpha beta gamma"), (101, "alpha beta delta")]
-    targets = spark.createDataFrame([(100,)], "doc_id bigint")
-    got = {x.doc_id: x for x in lm.cross_entropy_difference(docs(rows), targets).collect()}
-    single = lambda n, total: 0.3 * (n + 1) / (total + 4)  # noqa: E731  known: the, alpha, beta
-    background = [single(2, 400_006), single(2, 400_006) + 0.7 * 2 / 2, single(2, 400_006) + 0.7 * 2 / 2]  # gamma and delta are one unknown word
-    target = [single(1, 3), single(1, 3) + 0.7, single(1, 3) + 0.7]
-    loss = [-sum(map(math.log, p)) / 3 for p in (background, target)]
-    for k in (100, 101):
-        assert got[k].n_tokens == 3 and abs(got[k].background_loss - loss[0]) < 1e-9 and abs(got[k].target_loss - loss[1]) < 1e-9
+    rows = [(k, "the " * 20_000) for k in range(5)] + [(100, "alpha beta gamma"), (101, "alpha beta delta")]
+    got = {x.doc_id: x for x in lm.cross_entropy_difference(docs(rows), spark.createDataFrame([(100,)], "doc_id bigint")).collect()}
+    single = lambda n: (n + 1) / (100_000 + 3 + 6 + 5)  # noqa: E731  100 is off: alpha and beta once, delta unknown once, six ends, five kinds
+    p = [single(1), 0.7 + 0.3 * single(1), 0.7 + 0.3 * single(1), 0.7 + 0.3 * single(6)]
+    assert abs(got[100].background_loss + sum(map(math.log, p)) / 4) < 1e-9
 
 
 def test_pipeline_equals_its_stages_by_hand(spark, tmp_path):

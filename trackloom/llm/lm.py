@@ -1,24 +1,27 @@
 """Cross-entropy difference of documents between matched n-gram models.
 
 The background model counts the words and word pairs of all documents, the target model those of target documents.
-Both share one vocabulary and one set of pairs: every word and every pair that occurs twice or more in all documents;
-other words are one unknown word. A model gives
+Both share one vocabulary: every word that occurs twice or more in all documents, one unknown word for all others, and
+the end that closes each document. A model gives
 
-    p(w | v) = PAIR_WEIGHT * c(v, w) / c(v) + (1 - PAIR_WEIGHT) * (c(w) + 1) / (N + V)
+    p(w) = (c(w) + 1) / (N + V)
+    p(w | v) = PAIR_WEIGHT * c(v, w) / c(v) + (1 - PAIR_WEIGHT) * p(w), and p(w) where v is first or never occurs
 
-and a token's losses are -log p. A document's score is the mean of target loss minus background loss: the lower, the
-more it is like the target.
+Every word is followed by another or by the end, so the counts of pairs of v add up to c(v), and both are distributions
+over the vocabulary. A document is scored by models of all other documents: its own counts are taken off first (off the
+target model too, if it is a target), else a rare pair of its own would vouch for itself. A loss is the mean of -log p
+over its words and its end. Its score is target loss minus background loss: the lower, the more it is like the target.
 
 No model is held in one place, so its size follows the corpus. Documents are packed into slabs. A slab asks for its
 distinct words, dealt to buckets by hash; a bucket adds up what all slabs counted and answers each in the order of its
-question, 0 for what occurs once. With its words' counts a slab knows its unknown words, and asks for its pairs in the
+question, 0 for words that occur once. With its words' counts a slab knows its unknown words, and asks for its pairs in the
 same way; with both answers it scores its documents. Questions and answers are shuffled, and so are packed documents,
 to meet their answers. Words and pairs are told apart by 64-bit hashes. The number of buckets follows
 spark.sql.shuffle.partitions and, from some size on, the corpus, so that a bucket fits in memory.
 
 Words are runs of what isn't white space, A-Z lowered. Nulls: a text that is null or without words has no tokens, and
-losses and score 0; a null target flag is false. Repeated rows count again and score alike. Without target documents the
-target model is uniform but for the pairs. An empty table gives an empty result. Extra columns are not read.
+losses and score 0; a null target flag is false. Repeated rows are documents of their own, so each is scored by models
+that know the other. Without target documents the target model is uniform. An empty table gives an empty result. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -37,11 +40,14 @@ from trackloom.llm import text as tx
 from trackloom.llm.state import cut
 
 PAIR_WEIGHT = 0.7
-#: Words and pairs that occur more rarely are unknown.
+#: Words that occur more rarely are unknown.
 LEAST = 2
+#: What stands for the unknown word and for the end where pairs are hashed.
+UNKNOWN, END = np.uint64(0), np.uint64(1)
 #: Bytes of text in a slab (and more in one that holds a single longer document), and slabs for which a bucket is added.
 SLAB, SLABS_A_BUCKET = 2 << 20, 8
-PARTS = "slab bigint, docs binary"
+#: A slab: its number, its rows, and how many of them (and of the target rows) have words.
+PARTS = "slab bigint, docs binary, ends bigint, target_ends bigint"
 ASKED = "bucket bigint, slab bigint, keys binary, n binary, n_target binary"
 #: known, kept and kept_target (all that is known in the bucket), total and total_target stand in a bucket's first row.
 STATED = ("known", "kept", "kept_target", "total", "total_target")
@@ -59,22 +65,25 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, text, target) to slabs: a number of its own and the rows, as a compressed Arrow stream."""
-    number, held, size = TaskContext.get().partitionId() << 33, [], 0
+    number, held, size, ends = TaskContext.get().partitionId() << 33, [], 0, np.zeros(2, np.int64)
 
     def packed() -> pa.RecordBatch:
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
             for x in held:
                 out.write_batch(x)
-        return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["slab", "docs"])
+        return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary()), *(pa.array([x], pa.int64()) for x in ends)], names=["slab", "docs", "ends", "target_ends"])
 
     for batch in batches:
-        for low, high, data, _ in tx.slabs(batch.column(1), SLAB):
+        for low, high, data, offsets in tx.slabs(batch.column(1), SLAB):
             held.append(batch.slice(low, high - low))
+            has = np.zeros(high - low, bool)
+            has[tx.words(data, offsets)[2]] = True
+            ends = ends + [has.sum(), (has & np.asarray(held[-1].column(2).fill_null(False))).sum()]
             size += len(data) + 64 * (high - low)
             if size >= SLAB:
                 yield packed()
-                number, held, size = number + 1, [], 0
+                number, held, size, ends = number + 1, [], 0, np.zeros(2, np.int64)
     if held:
         yield packed()
 
@@ -86,15 +95,20 @@ def _unpacked(docs: bytes) -> tuple[pa.Table, np.ndarray, np.ndarray]:
     return rows, np.concatenate([low + row for low, row, _ in found]), np.concatenate([key for _, _, key in found]).view(np.uint64)
 
 
-def _inner(row: np.ndarray) -> np.ndarray:
-    """Places of the words that have one before them in their row."""
-    return np.flatnonzero(row[1:] == row[:-1]) + 1 if len(row) else np.zeros(0, np.int64)
+def _pairs(row: np.ndarray, key: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Hash of each word together with the word after it or the end; all unknown words count as one."""
+    word = np.where(count > 0, key, UNKNOWN)
+    after = np.append(word[1:], END) if len(word) else word
+    after = np.where(np.append(row[1:] != row[:-1], True), END, after) if len(word) else after
+    return tx.mix(tx.mix(word) * np.uint64(0x9E3779B97F4A7C15) + after)
 
 
-def _pair_keys(key: np.ndarray, count: np.ndarray, inner: np.ndarray) -> np.ndarray:
-    """Hashes of word pairs; all unknown words count as one."""
-    word = np.where(count > 0, key, np.uint64(0))
-    return tx.mix(tx.mix(word)[inner - 1] * np.uint64(0x9E3779B97F4A7C15) + word[inner])
+def _own(row: np.ndarray, kind: np.ndarray) -> np.ndarray:
+    """For each word, how many words of its row are of the same kind (a number)."""
+    if not len(row):
+        return np.zeros(0, np.int64)
+    _, inverse, count = np.unique(row * (int(kind.max()) + 1) + kind, return_inverse=True, return_counts=True)
+    return count[inverse]
 
 
 def _dealt(key: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -128,11 +142,11 @@ def _question(slab: int, key: np.ndarray, target: np.ndarray, buckets: int) -> p
     return pa.RecordBatch.from_arrays([pa.array(bucket[head], pa.int64()), pa.array([slab] * len(head), pa.int64()), *(pa.array([x[k] for x in split], pa.binary()) for k in range(3))], names=["bucket", "slab", "keys", "n", "n_target"])
 
 
-def _answer(asked: pa.Table) -> pa.Table:
-    """All questions to a bucket to an answer to each."""
+def _answer(asked: pa.Table, least: int) -> pa.Table:
+    """All questions to a bucket to an answer to each; keys that occur less than so often are answered by 0."""
     keys, inverse = np.unique(np.frombuffer(b"".join(asked["keys"].to_pylist()), np.uint64), return_inverse=True)
     counts = [np.bincount(inverse, _counts(asked[name].to_pylist(), np.uint32), minlength=len(keys)).astype(np.int64) for name in ("n", "n_target")]
-    known = counts[0] >= LEAST
+    known = counts[0] >= least
     stated = [known.sum(), *(x[known].sum() for x in counts), *(x.sum() for x in counts)]
     end = np.cumsum([len(x) // 8 for x in asked["keys"].to_pylist()])
     answers = [np.where(known, x, 0)[inverse] for x in counts]
@@ -161,24 +175,45 @@ def _ask_words(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.R
 def _ask_pairs(part: pa.Table, words: pa.Table, buckets: int) -> pa.Table:
     """A slab and the answers on its words to its question for pairs."""
     rows, row, key = _unpacked(part["docs"][0].as_py())
-    inner = _inner(row)
-    pairs = _pair_keys(key, _heard(words)[0][_dealt(key, buckets)[2]], inner)
-    return pa.Table.from_batches([_question(part["slab"][0].as_py(), pairs, _target(rows)[row[inner]], buckets)])
+    pairs = _pairs(row, key, _heard(words)[0][_dealt(key, buckets)[2]])
+    return pa.Table.from_batches([_question(part["slab"][0].as_py(), pairs, _target(rows)[row], buckets)])
 
 
 @dataclass
 class Totals:
-    """Number of known words, and counts of all words and of those that aren't known, in all and in target documents."""
+    """Number of known words; and in all and in target documents, counts of all words, of unknown ones and of ends."""
 
     known: int
     total: np.ndarray
     unknown: np.ndarray
+    ends: np.ndarray
 
     @classmethod
-    def of(cls, answers: DataFrame) -> Totals:
+    def of(cls, answers: DataFrame, ends: tuple[int, int]) -> Totals:
         x = answers.agg(*(F.coalesce(F.sum(k), F.lit(0)).alias(k) for k in STATED)).first()
         total, kept = np.array([[x.total], [x.total_target]], np.float64), np.array([[x.kept], [x.kept_target]], np.float64)
-        return cls(x.known, total, total - kept)
+        return cls(x.known, total, total - kept, np.array([[ends[0]], [ends[1]]], np.float64))
+
+
+def losses(row: np.ndarray, target: np.ndarray, known: np.ndarray, word: np.ndarray, pair: np.ndarray, pair_count: np.ndarray, totals: Totals) -> np.ndarray:
+    """Losses (background and target) of documents. By word: its row; counts if it is known, else 0; a number of its own
+    among the words of the slab (unknown ones have one number), and one for its pair with what follows; the pair's counts."""
+    docs = len(target)
+    taken = np.stack([np.ones(docs), target])  # documents taken off each model
+    n = np.bincount(row, minlength=docs)
+    some = (n > 0).astype(np.float64)
+    size = totals.total - taken * n + totals.ends - taken * some + totals.known + 2  # N + V of each document's models
+    count = np.where(known[0] > 0, known, totals.unknown) - taken[:, row] * _own(row, word)
+    single = (count + 1) / size[:, row]
+    followed = pair_count - taken[:, row] * _own(row, pair)
+    last = np.append(row[1:] != row[:-1], True) if len(row) else np.zeros(0, bool)
+    end = (totals.ends - taken + 1) / size
+    after = np.where(last, end[:, row], np.append(single[:, 1:], np.ones((2, 1)), axis=1) if len(row) else single)  # p of what follows each word
+    weight = np.where(count > 0, PAIR_WEIGHT, 0)
+    p = weight * followed / np.maximum(count, 1) + (1 - weight) * after
+    first = np.append(True, row[1:] != row[:-1]) if len(row) else np.zeros(0, bool)
+    lost = -np.log(p) - np.where(first, np.log(single), 0)
+    return np.stack([np.bincount(row, x, minlength=docs) for x in lost]) / (n + 1)
 
 
 def _score(part: pa.Table, answers: pa.Table, buckets: int, totals: Totals) -> pa.Table:
@@ -186,14 +221,12 @@ def _score(part: pa.Table, answers: pa.Table, buckets: int, totals: Totals) -> p
     rows, row, key = _unpacked(part["docs"][0].as_py())
     of_pairs = answers["of_pairs"].combine_chunks() if len(answers) else pa.array([], pa.bool_())
     words, pairs = answers.filter(pa.array(~np.asarray(of_pairs))), answers.filter(of_pairs)
-    known = _heard(words)[:, _dealt(key, buckets)[2]]
-    inner = _inner(row)
-    pair_count = _heard(pairs)[:, _dealt(_pair_keys(key, known[0], inner), buckets)[2]]
-    count = np.where(known[0] > 0, known, totals.unknown)
-    p = (1 - PAIR_WEIGHT) * (count + 1) / (totals.total + totals.known + 1)
-    p[:, inner] += PAIR_WEIGHT * pair_count / np.maximum(count[:, inner - 1], 1)
+    place = _dealt(key, buckets)[2]
+    known = _heard(words)[:, place]
+    pair = _dealt(_pairs(row, key, known[0]), buckets)[2]
+    pair_count = _heard(pairs)[:, pair]
+    background, target = losses(row, _target(rows).astype(np.float64), known, np.where(known[0] > 0, place + 1, 0), pair, pair_count, totals)
     n = np.bincount(row, minlength=len(rows))
-    background, target = (np.bincount(row, -np.log(x), minlength=len(rows)) / np.maximum(n, 1) for x in p)
     return pa.table([rows["doc_id"], pa.array(n, pa.int64()), pa.array(target), pa.array(background), pa.array(target - background)], names=["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
 
 
@@ -202,12 +235,12 @@ def score(rows: DataFrame) -> DataFrame:
     rows = rows.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"), F.col("target").cast("boolean"))
     parts = cut(rows.mapInArrow(_packed, PARTS), "lm-slabs")
     buckets = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), parts.count() // SLABS_A_BUCKET)
-    answered = lambda asked, name: cut(asked.groupBy("bucket").applyInArrow(_answer, ANSWERED), name)
-    with_slab = lambda answers: parts.groupBy("slab").cogroup(answers.groupBy("slab"))
-    words = answered(parts.mapInArrow(partial(_ask_words, buckets=buckets), ASKED), "lm-words")
-    totals = Totals.of(words)
+    answered = lambda asked, name, least: cut(asked.groupBy("bucket").applyInArrow(lambda x: _answer(x, least), ANSWERED), name)
+    with_slab = lambda answers: parts.select("slab", "docs").groupBy("slab").cogroup(answers.groupBy("slab"))
+    words = answered(parts.select("slab", "docs").mapInArrow(partial(_ask_words, buckets=buckets), ASKED), "lm-words", LEAST)
+    totals = Totals.of(words, tuple(parts.agg(F.coalesce(F.sum("ends"), F.lit(0)), F.coalesce(F.sum("target_ends"), F.lit(0))).first()))
     words = words.select("slab", "bucket", "n", "n_target", F.lit(False).alias("of_pairs"))
-    pairs = answered(with_slab(words).applyInArrow(lambda part, own: _ask_pairs(part, own, buckets), ASKED), "lm-pairs")
+    pairs = answered(with_slab(words).applyInArrow(lambda part, own: _ask_pairs(part, own, buckets), ASKED), "lm-pairs", 1)
     both = words.unionByName(pairs.select("slab", "bucket", "n", "n_target", F.lit(True).alias("of_pairs")))
     return with_slab(both).applyInArrow(lambda part, own: _score(part, own, buckets, totals), SCORED)
 
