@@ -122,43 +122,58 @@ def _dealt(key: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.nd
 
 
 def _planes(x: np.ndarray) -> bytes:
-    """All lowest bytes of x, then all next ones, and so on: most counts are small, so the shuffle's compression finds runs."""
+    """All lowest bytes of x, then all next ones, and so on: most numbers are small, so the shuffle's compression finds runs."""
     return x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes()
 
 
-def _counts(planes: list[bytes], kind: type) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    return np.concatenate([np.zeros(0, kind), *(np.frombuffer(x, np.uint8).reshape(size, -1).T.copy().view(kind)[:, 0] for x in planes)])
+def _numbers(planes: bytes, kind: type) -> np.ndarray:
+    return np.frombuffer(planes, np.uint8).reshape(np.dtype(kind).itemsize, -1).T.copy().view(kind)[:, 0]
 
 
 def _question(slab: int, key: np.ndarray, target: np.ndarray, buckets: int) -> pa.RecordBatch:
-    """A row for each bucket in which the slab has keys: these, and their counts in the slab."""
+    """A row for each bucket in which the slab has keys: these, and their counts in the slab. The keys of a bucket are
+    sent as steps from one to the next, of what its number leaves of them."""
     distinct, bucket, place = _dealt(key, buckets)
     n = np.bincount(place, minlength=len(distinct)).astype(np.uint32)
     n_target = np.bincount(place, target, minlength=len(distinct)).astype(np.uint32)
     head = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.zeros(0, np.int64)
+    rest = distinct // np.uint64(buckets)
+    steps = np.append(rest[:1], rest[1:] - rest[:-1])
+    steps[head] = rest[head]
     ends = zip(head, np.append(head[1:], len(bucket)), strict=True)
-    split = [[distinct[a:b].tobytes(), _planes(n[a:b]), _planes(n_target[a:b])] for a, b in ends]
+    split = [[_planes(steps[a:b]), _planes(n[a:b]), _planes(n_target[a:b])] for a, b in ends]
     return pa.RecordBatch.from_arrays([pa.array(bucket[head], pa.int64()), pa.array([slab] * len(head), pa.int64()), *(pa.array([x[k] for x in split], pa.binary()) for k in range(3))], names=["bucket", "slab", "keys", "n", "n_target"])
 
 
 def _answer(asked: pa.Table, least: int) -> pa.Table:
     """All questions to a bucket to an answer to each; keys that occur less than so often are answered by 0."""
-    keys, inverse = np.unique(np.frombuffer(b"".join(asked["keys"].to_pylist()), np.uint64), return_inverse=True)
-    counts = [np.bincount(inverse, _counts(asked[name].to_pylist(), np.uint32), minlength=len(keys)).astype(np.int64) for name in ("n", "n_target")]
-    known = counts[0] >= least
-    stated = [known.sum(), *(x[known].sum() for x in counts), *(x.sum() for x in counts)]
-    end = np.cumsum([len(x) // 8 for x in asked["keys"].to_pylist()])
-    answers = [np.where(known, x, 0)[inverse] for x in counts]
-    split = [pa.array([_planes(x[a:b]) for a, b in zip(np.append(0, end[:-1]), end, strict=True)], pa.binary()) for x in answers]
-    first = [pa.array([int(x), *[0] * (len(asked) - 1)], pa.int64()) for x in stated]
-    return pa.table([asked["slab"], asked["bucket"], *split, *first], names=["slab", "bucket", "n", "n_target", *STATED])
+    cells = lambda name: (x.as_py() for x in asked[name])
+    keys = [np.cumsum(_numbers(x, np.uint64)) for x in cells("keys")]
+    ends = np.cumsum([0, *map(len, keys)])
+    keys = np.concatenate(keys)
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    head = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    size = np.diff(np.append(head, len(keys)))
+    del keys
+    stated, answers, known = [], [], None
+    for name in ("n", "n_target"):
+        counts = np.concatenate([_numbers(x, np.uint32) for x in cells(name)])
+        sums = np.add.reduceat(counts[order], head, dtype=np.int64)
+        known = sums >= least if known is None else known
+        stated += [int(sums[known].sum()), int(sums.sum())]
+        answer = np.empty(len(order), np.int64)
+        answer[order] = np.repeat(np.where(known, sums, 0), size)
+        answers.append(pa.array([_planes(answer[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary()))
+    said = [int(known.sum()), stated[0], stated[2], stated[1], stated[3]]
+    first = [pa.array([x, *[0] * (len(asked) - 1)], pa.int64()) for x in said]
+    return pa.table([asked["slab"], asked["bucket"], *answers, *first], names=["slab", "bucket", "n", "n_target", *STATED])
 
 
 def _heard(answers: pa.Table) -> np.ndarray:
     """Counts, in all and in target documents, of a slab's distinct keys as _dealt() orders them."""
     answers = answers.sort_by("bucket")
-    return np.stack([_counts(answers[name].to_pylist(), np.int64) for name in ("n", "n_target")])
+    return np.stack([np.concatenate([np.zeros(0, np.int64), *(_numbers(x.as_py(), np.int64) for x in answers[name])]) for name in ("n", "n_target")])
 
 
 def _target(rows: pa.Table) -> np.ndarray:
