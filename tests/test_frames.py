@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -42,8 +44,21 @@ def test_percent_rank(spark):
     same(run(spark, V, t.percent_rank(c("v"), 3, 1)), [1, 0.5, 0.6667, 0.8333, None, 1, 0.5])
 
 
+def ewm(spark, values, span):
+    return [r.e for r in t.ewm(series(spark, values), {"e": ("v", span)}).orderBy("frame").collect()]
+
+
 def test_ewm(spark):
-    same(run(spark, V, t.ewm(c("v"), 3)), [3, 1.6667, 1.8571, 1.9333, 1.9333, 4.0213, 2.8559])
+    same(ewm(spark, V, 3), [3, 1.6667, 1.8571, 1.9333, 1.9333, 4.0213, 2.8559])
+    same(ewm(spark, [None, *V], 1), pd.Series([None, *V], dtype=float).ffill())
+
+
+@pytest.mark.parametrize("span", [3, 30])
+def test_ewm_over_long_gaps_is_that_of_pandas(spark, span):
+    """Gaps of less than a block, of several blocks, and values at the very ends of blocks."""
+    gone = [*range(20, 900), *range(1000, 3000), *range(3100, 3460), *range(6890, 6910), *range(7000, 11_500)]
+    v = [None if k in set(gone) else float((k * 37) % 101) for k in range(12_000)]
+    same(ewm(spark, v, span), pd.Series(v, dtype=float).ewm(span=span, min_periods=1).mean(), 7)
 
 
 def test_quantile(spark):
@@ -87,6 +102,19 @@ def test_gap_fill(spark):
     assert [r.v for r in df.orderBy("frame").collect()] == [0, 1, 2, 2, 2, None, None, None, 10, 10, 10, 10, 10, None, None]
 
 
+def test_long_tracks_cost_their_length(spark):
+    """Twice the rows take about twice the time, not four times."""
+    took = []
+    for n in (20_000, 20_000, 80_000):
+        df = spark.range(n).select(F.lit(1).alias("k"), c("id").alias("frame"), F.when(c("id") % 5 > 1, c("id").cast("double")).alias("v"))
+        began = time.perf_counter()
+        missing.interpolate(missing.fill_gaps(df, t, ["v"]), t, ["v"]).write.format("noop").mode("overwrite").save()
+        total, count = t.totals(c("v"))
+        df.withColumns({"a": total, "b": count}).select(t.long_mean(c("a"), c("b"), 240, True, 1)).write.format("noop").mode("overwrite").save()
+        took.append(time.perf_counter() - began)
+    assert took[2] < 8 * took[1]
+
+
 def test_streak(spark):
     v = [None if m else 1.0 for m in (1, 1, 0, 1, 1, 1, 0, 0, 1)]
     df = missing.streak(series(spark, v), t, c("v").isNull(), "s")

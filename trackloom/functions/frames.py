@@ -10,12 +10,14 @@ import math
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 EPS = 1e-6
 #: Over so many rows a mean or sum is taken from running totals: a sliding window costs its length for every row.
 LONG = 200
+#: Weights of an exponentially weighted mean grow by so many powers of ten in a block of rows.
+GROWN = 100
 
 
 def scale(n: float, fps: float | None = 30.0) -> int:
@@ -162,16 +164,46 @@ class Track:
         frame = self.over.rowsBetween(-ws, -1)
         return F.when(F.count(c).over(frame) == ws, F.avg(c).over(frame))
 
-    def ewm(self, c: Column, span: int, depth: int | None = None) -> Column:
-        """Exponentially weighted mean by absolute position, from the last depth rows: by default so many that older
-        ones have a weight under 1e-12."""
-        a = 2.0 / (span + 1)
-        depth = depth or max(1, math.ceil(math.log(1e-12) / math.log(1 - a))) if a < 1 else 1
-        # an array keeps the NULLs' places
-        seen = F.collect_list(F.struct(c.alias("v"))).over(self.over.rowsBetween(-(depth - 1), 0))
-        start = F.struct(F.lit(0.0).alias("num"), F.lit(0.0).alias("den"))
-        step = lambda s, x: F.struct((s["num"] * (1 - a) + F.coalesce(x["v"], F.lit(0.0))).alias("num"), (s["den"] * (1 - a) + flag(x["v"].isNotNull())).alias("den"))
-        return F.aggregate(seen, start, step, lambda s: F.when(s["den"] > 0, s["num"] / s["den"]))
+    def ewm(self, df: DataFrame, out: dict[str, tuple[str, int]]) -> DataFrame:
+        """Adds exponentially weighted means by absolute position, {name: (column, span)}: exact, and carried over missing
+        rows however many.
+
+        A row in a block weighs 1 / (1 - a) for each place before it, so a mean is a ratio of two running sums. A block is
+        so long that weights grow by about 10 ** GROWN in it; what its sums start from is, by the same scale, what the
+        last block with values ended with, together with the block before that one: all else weighs nothing beside it.
+        """
+        whole = {name: (column, 1 - 2.0 / (span + 1)) for name, (column, span) in out.items()}
+        lost = [name for name, (_, keep) in whole.items() if keep <= 0]
+        whole = {name: x for name, x in whole.items() if name not in lost}
+        made = df.withColumns({name: F.last(F.col(out[name][0]), True).over(self.over.rowsBetween(Window.unboundedPreceding, 0)) for name in lost})
+        size = {keep: max(1, int(GROWN * math.log(10) / -math.log(keep))) for _, keep in whole.values()}
+        tag = {keep: f"_ew{k}" for k, keep in enumerate(size)}
+        made = made.withColumn("_ew_at", F.row_number().over(self.over) - 1) if whole else made
+        made = made.withColumns({f"{tag[keep]}_block": F.floor(F.col("_ew_at") / n) for keep, n in size.items()} | {f"{tag[keep]}_weight": F.pow(F.lit(1 / keep), F.pmod("_ew_at", F.lit(n))) for keep, n in size.items()})
+        sums, before, carry = {}, {}, {}
+        upto, earlier = (Window.unboundedPreceding, 0), self.over.rowsBetween(Window.unboundedPreceding, -1)
+        for name, (column, keep) in whole.items():
+            own = Window.partitionBy(*self.keys, f"{tag[keep]}_block").orderBy(self.frame).rowsBetween(*upto)
+            weight = F.when(F.col(column).isNotNull(), F.col(f"{tag[keep]}_weight"))
+            sums |= {f"_ew_n_{name}": F.coalesce(F.sum(F.col(column) * weight).over(own), F.lit(0.0)), f"_ew_d_{name}": F.coalesce(F.sum(weight).over(own), F.lit(0.0))}
+        made = made.withColumns(sums)
+        for name, (_, keep) in whole.items():
+            ends = F.pmod("_ew_at", F.lit(size[keep])) == size[keep] - 1
+            before[f"_ew_b_{name}"] = F.last(F.when(ends, F.struct(F.col(f"_ew_n_{name}").alias("n"), F.col(f"_ew_d_{name}").alias("d"))), True).over(earlier)
+        made = made.withColumns(before)
+        for name, (_, keep) in whole.items():
+            ends = F.pmod("_ew_at", F.lit(size[keep])) == size[keep] - 1
+            with_last = [F.col(f"_ew_{x}_{name}") + F.coalesce(F.col(f"_ew_b_{name}.{x}"), F.lit(0.0)) * keep ** size[keep] for x in "nd"]
+            state = F.struct(with_last[0].alias("n"), with_last[1].alias("d"), F.col(f"{tag[keep]}_block").alias("block"))
+            carry[f"_ew_c_{name}"] = F.last(F.when(ends & (F.col(f"_ew_d_{name}") > 0), state), True).over(earlier)
+        made, means = made.withColumns(carry), {}
+        for name, (_, keep) in whole.items():
+            old = F.col(f"_ew_c_{name}")
+            fade = F.coalesce(F.pow(F.lit(keep**size[keep]), F.col(f"{tag[keep]}_block") - old["block"]), F.lit(0.0))
+            n, d = (F.col(f"_ew_{x}_{name}") + F.coalesce(old[x], F.lit(0.0)) * fade for x in "nd")
+            means[name] = F.when(F.col(f"_ew_d_{name}") > 0, n / d).otherwise(old["n"] / old["d"])
+        extra = [k for k in made.columns if k.startswith("_ew") and k not in df.columns]
+        return made.withColumns(means).drop(*extra)
 
     def islands(self, change: Column) -> Column:
         """Number of changes so far."""
@@ -185,11 +217,11 @@ class Track:
     def long_mean(self, total: Column, count: Column, ws: int, centred: bool, mp: int) -> Column:
         """mean() of a long window from the columns of totals(): two look-ups instead of ws values a row."""
         low, high = self.rows(ws, centred)
-        rest = self.over.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+        whole = self.over.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)  # read once a track
 
         def upto(c: Column, k: int) -> Column:
             """The running figure k rows on; that of the last row beyond the end."""
-            return F.coalesce(self.shift(c, -k), F.last(c).over(rest)) if k > 0 else c
+            return F.coalesce(self.shift(c, -k), F.last(c).over(whole)) if k > 0 else c
 
         n = upto(count, high) - F.coalesce(self.shift(count, 1 - low), F.lit(0))
         return F.when(n >= max(mp, 1), (upto(total, high) - F.coalesce(self.shift(total, 1 - low), F.lit(0.0))) / n)

@@ -178,8 +178,11 @@ def segments(df: DataFrame, t: Track, flag: str) -> DataFrame:
     return runs(df.select(*t.keys, t.frame, F.when(c(flag), True).alias("on")), t, "on").drop("on")
 
 
-def crop(found: DataFrame, before: float, after: float, fps: float) -> DataFrame:
-    """The intervals around the longest one: from so many seconds before its start to so many after."""
-    longest = found.orderBy((c("stop_frame") - c("start_frame")).desc(), "start_frame").limit(1).select(c("start_frame").alias("_at"))
-    at = found.crossJoin(F.broadcast(longest))  # one row
-    return at.where((c("stop_frame") > c("_at") - before * fps) & (c("start_frame") < c("_at") + after * fps)).drop("_at")
+def crop(found: DataFrame, before: float, after: float, fps: float, keys: list[str] | None = None) -> DataFrame:
+    """The intervals around the longest one (of equal ones the first) of each key, or of all: from so many seconds before
+    its start to so many after."""
+    keys = keys or []
+    longest = F.max_by("start_frame", F.struct(c("stop_frame") - c("start_frame"), -c("start_frame"))).alias("_at")
+    at = found.groupBy(*keys).agg(longest)
+    both = found.join(at, keys) if keys else found.crossJoin(F.broadcast(at))  # one row
+    return both.where((c("stop_frame") > c("_at") - before * fps) & (c("start_frame") < c("_at") + after * fps)).drop("_at").select(*found.columns)

@@ -20,13 +20,17 @@ def gap_limit(fps: float) -> int:
 
 def _interpolated(df: DataFrame, t: Track, columns: list[str], limit: int | None) -> DataFrame:
     """Linear between both neighbours of a gap, in its first limit rows; by position, not by frame number."""
-    before, after = t.over.rowsBetween(Window.unboundedPreceding, 0), t.over.rowsBetween(0, Window.unboundedFollowing)
+    # what comes after is looked for from the end of the track: a frame up to its end would be read anew for every row
+    before = t.over.rowsBetween(Window.unboundedPreceding, 0)
+    after = Window.partitionBy(*t.keys).orderBy(F.desc("_row")).rowsBetween(Window.unboundedPreceding, 0)
     df = df.withColumn("_row", F.row_number().over(t.over))
-    ends = {}
+    near, far = {}, {}
     for k in columns:
         at = F.when(c(k).isNotNull(), c("_row"))
-        ends |= {f"_v0{k}": F.last(c(k), True).over(before), f"_r0{k}": F.last(at, True).over(before), f"_v1{k}": F.first(c(k), True).over(after), f"_r1{k}": F.first(at, True).over(after)}
-    df = df.withColumns(ends)
+        near |= {f"_v0{k}": F.last(c(k), True).over(before), f"_r0{k}": F.last(at, True).over(before)}
+        far |= {f"_v1{k}": F.last(c(k), True).over(after), f"_r1{k}": F.last(at, True).over(after)}
+    ends = near | far
+    df = df.withColumns(near).withColumns(far)
     out = {}
     for k in columns:
         step = (c(f"_v1{k}") - c(f"_v0{k}")) / (c(f"_r1{k}") - c(f"_r0{k}"))

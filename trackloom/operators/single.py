@@ -151,9 +151,9 @@ def long_range(df: DataFrame, t: Track, parts: tuple[str, ...], section: int = 1
     for w in (30, 60, 120):
         mp = max(5, t.ws(w) // 6)
         out |= {f"{k}_ml{w}": t.mean(c(f"_c{k}"), w, mp=mp) for k in "xy"}
-        out |= {f"{k}_e{w}": t.ewm(c(f"_c{k}"), t.ws(w)) for k in "xy"}
         out[f"sp_pct{w}"] = t.percent_rank(c("_speed"), w, mp)
-    return made.withColumns(out).drop("_cx", "_cy", "_speed")
+    made = t.ewm(made.withColumns(out), {f"{k}_e{w}": (f"_c{k}", t.ws(w)) for w in (30, 60, 120) for k in "xy"})
+    return made.drop("_cx", "_cy", "_speed")
 
 
 def steadiness(df: DataFrame, t: Track, parts: tuple[str, ...], section: int = 1) -> DataFrame:
@@ -250,10 +250,11 @@ def body_axis(df: DataFrame, t: Track, parts: tuple[str, ...], section: int = 1)
     for w in sizes:
         m = lambda name, w=w: t.mean(c(name), w, True, 4)
         s = lambda name, w=w: t.std(c(name), w, True, 4)
-        share = lambda cond, w=w: t.mean(flag(cond), w, True, 5)
         out |= {f"v_fwd_m{w}": m("v_forward"), f"v_fwd_s{w}": s("v_forward"), f"v_fwd_abs_m{w}": m("v_forward_abs"), f"v_lat_m{w}": m("v_lateral"), f"v_lat_s{w}": s("v_lateral"), f"v_lat_abs_m{w}": m("v_lateral_abs"), f"lat_fwd_ratio_m{w}": m("lat_over_fwd")}
-        out |= {f"forward_ratio{w}": share(c("v_forward") > 1), f"backward_ratio{w}": share(c("v_forward") < -1), f"lateral_dom_ratio{w}": share(c("v_lateral_abs") > c("v_forward_abs"))}
-        out |= {f"slip_m{w}": m("slip_angle"), f"slip_s{w}": s("slip_angle"), f"slip_abs_m{w}": m("slip_angle_abs"), f"slip_align_ratio{w}": share(c("slip_angle_abs") < math.pi / 6)}
+        out |= {f"slip_m{w}": m("slip_angle"), f"slip_s{w}": s("slip_angle"), f"slip_abs_m{w}": m("slip_angle_abs")}
+    for w in windows(section, (15, 30, 60, 120), (30, 60)):
+        share = lambda cond, w=w: t.mean(flag(cond), w, True, 5)
+        out |= {f"forward_ratio_{w}": share(c("v_forward") > 1), f"backward_ratio_{w}": share(c("v_forward") < -1), f"lateral_dom_ratio_{w}": share(c("v_lateral_abs") > c("v_forward_abs")), f"slip_align_ratio_{w}": share(c("slip_angle_abs") < math.pi / 6)}
     return made.withColumns(out).drop("_ux", "_uy", "_cx", "_cy", "_vx", "_vy", "_slip")
 
 
@@ -288,8 +289,8 @@ def micromotion(df: DataFrame, t: Track, parts: tuple[str, ...], section: int =
         both = c("_head_sp") + c("_tail_sp")
         made = made.withColumns({"head_tail_speed_ratio": c("_head_sp") / (c("_tail_sp") + EPS), "head_tail_dir_consistency": (c("_head_vx") * c("_tail_vx") + c("_head_vy") * c("_tail_vy")) / ((c("_head_sp") + EPS) * (c("_tail_sp") + EPS))})
         made = made.withColumn("head_tail_independence", (1 - F.abs("head_tail_dir_consistency")) * both)
-        for name, sizes in (("head_tail_speed_ratio", (10, 20)), ("head_tail_dir_consistency", (10, 20, 30)), ("head_tail_independence", (15, 30))):
-            out |= {f"{name}_m{w}": t.mean(c(name), w, True, 3) for w in sizes}
+        for short, name, sizes in (("head_tail_ratio", "head_tail_speed_ratio", (10, 20)), ("head_tail_dir", "head_tail_dir_consistency", (10, 20, 30)), ("head_tail_indep", "head_tail_independence", (15, 30))):
+            out |= {f"{short}_m{w}": t.mean(c(name), w, True, 3) for w in sizes}
     return made.withColumns(out).drop(*(x for x in made.columns if x.startswith(("_head_", "_tail_", "_bv")))) if out else df
 
 

@@ -11,12 +11,13 @@ from trackloom.queries.views import TRACK as t
 
 c = F.col
 CUTS = {"rear": 0.35, "huddle": 0.5, "chase": 0.6}
-PROB_SQL = f"select entity, frame, event_id, x / 500 as rear, y / 100 as huddle, (event_id % 97) / 97.0::double as chase from ({v.TRAJ_SQL}) where event_id % 7 <> 0"
+#: Every eighth frame number is left out, so that there are gaps.
+PROB_SQL = f"select entity, frame + frame // 7 as frame, event_id, x / 500 as rear, y / 100 as huddle, (event_id % 97) / 97.0::double as chase from ({v.TRAJ_SQL})"
 
 
 def _prob(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = v.traj(spark, sf_dir).where(c("event_id") % 7 != 0)
-    return df.select("entity", "frame", "event_id", (c("x") / 500).alias("rear"), (c("y") / 100).alias("huddle"), ((c("event_id") % 97) / 97.0).alias("chase"))
+    df = v.traj(spark, sf_dir)
+    return df.select("entity", F.expr("frame + frame div 7").alias("frame"), "event_id", (c("x") / 500).alias("rear"), (c("y") / 100).alias("huddle"), ((c("event_id") % 97) / 97.0).alias("chase"))
 
 
 def decode_intervals(spark, sf_dir):
@@ -52,10 +53,14 @@ def _allowed(df: DataFrame) -> DataFrame:
     return df.select("entity", F.concat(F.lit("mouse"), (c("entity") % 3 + 1).cast("string")).alias("agent"), F.lit("self").alias("target"), "action").distinct()
 
 
+#: Users with fewer events than this have no intervals.
+BUSY = 66
+
+
 def fill_empty(spark, sf_dir):
     df = v.intervals(spark, sf_dir)
     spans = df.groupBy("entity").agg(F.min("start_frame").alias("low"), F.max("start_frame").alias("high"))
-    found = df.where(c("entity") % 2 == 0)
+    found = df.join(df.groupBy("entity").agg(F.count(F.lit(1)).alias("n")).where(f"n >= {BUSY}"), "entity", "left_semi")
     return decode.fill_empty(found, spans, _allowed(df), "entity")
 
 
@@ -72,8 +77,7 @@ def segments(spark, sf_dir):
 
 
 def crop_window(spark, sf_dir):
-    df = decode.intervals(_prob(spark, sf_dir), t, CUTS).where("entity = 1")
-    return decode.crop(df, 0.5, 0.2, 30).select("action", "start_frame", "stop_frame")
+    return decode.crop(decode.intervals(_prob(spark, sf_dir), t, CUTS), 0.5, 0.2, 30, ["entity"]).select("entity", "action", "start_frame", "stop_frame")
 
 
 OOF_SQL = "select l.doc_id, l.doc_id % 40 as video_id, l.doc_id % 3 as task, l.doc_id % 40 % 5 as fold, l.toxic as label, (d.n_chars % 1000) / 1000.0::double as prediction from labels l join documents d using (doc_id)"
@@ -117,16 +121,18 @@ def oof_audit(spark, sf_dir):
     return v.rounded(evaluate.audit(_oof(spark, sf_dir), _saved(spark, sf_dir), ["task"]), ["task", "n_folds", "n_bad", "ok"], ["saved_f1", "recomputed_f1"], 9)
 
 
-def frame_set_f1(spark, sf_dir):
+def _sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """All intervals, and all of them moved a little, some of which become empty."""
     df = v.intervals(spark, sf_dir)
-    truth = df.where(c("event_id") % 2 == 0)
-    guess = df.where(c("event_id") % 3 != 0).withColumn("stop_frame", c("stop_frame") + 1)
-    return v.rounded(evaluate.frame_set_f1(truth, guess, ["entity", "action"]), ["entity", "action", "tp", "fp", "fn"], ["f1"], 9)
+    return df, df.withColumns({"start_frame": c("start_frame") + c("event_id") % 3, "stop_frame": c("stop_frame") + 1 - c("event_id") % 4})
+
+
+def frame_set_f1(spark, sf_dir):
+    return v.rounded(evaluate.frame_set_f1(*_sides(spark, sf_dir), ["entity", "action"]), ["entity", "action", "tp", "fp", "fn"], ["f1"], 9)
 
 
 def mean_task_f1(spark, sf_dir):
-    df = v.intervals(spark, sf_dir)
-    scores = evaluate.frame_set_f1(df.where(c("event_id") % 2 == 0), df.where(c("event_id") % 3 != 0), ["entity", "action"])
+    scores = evaluate.frame_set_f1(*_sides(spark, sf_dir), ["entity", "action"])
     return v.rounded(evaluate.mean_f1(scores, ["action"]), ["action", "n_tasks"], ["mean_f1", "median_f1"], 8)
 
 
@@ -199,7 +205,8 @@ VALID_SQL = f"""with i as ({v.INTERVAL_SQL}), spans as (select entity, min(start
         union all select 'overlap', count(*) from p where before > start_frame) where n > 0"""
 
 _sets = "select distinct entity, action, unnest(range(start_frame, stop_frame)) as frame from ({}) where start_frame < stop_frame"
-SETS = """with i as ({i}), s as ({s}), p as ({p}), b as (select coalesce(s.entity, p.entity) as entity, coalesce(s.action, p.action) as action, s.entity is not null as ins, p.entity is not null as inp
+_moved = "select entity, action, start_frame + event_id % 3 as start_frame, stop_frame + 1 - event_id % 4 as stop_frame from i"
+SETS = f"""with i as ({v.INTERVAL_SQL}), s as ({_sets.format('select * from i')}), p as ({_sets.format(_moved)}), b as (select coalesce(s.entity, p.entity) as entity, coalesce(s.action, p.action) as action, s.entity is not null as ins, p.entity is not null as inp
     from s full join p on s.entity = p.entity and s.action = p.action and s.frame = p.frame),
     f as (select entity, action, count(*) filter (where ins and inp) as tp, count(*) filter (where not ins and inp) as fp, count(*) filter (where ins and not inp) as fn from b group by 1, 2)"""
 
@@ -215,12 +222,12 @@ ORACLE_SQL = {
         select entity, start_frame, stop_frame, action, event_id from g where kept""",
     "fill_empty": f"""with i as ({v.INTERVAL_SQL}), spans as (select entity, min(start_frame) as low, max(start_frame) as high from i group by entity),
         a as (select *, row_number() over (partition by entity, agent, target order by action) - 1 as k, count(*) over (partition by entity, agent, target) as n from ({ALLOWED})),
-        s as (select *, cast(ceil((high + 1 - low) / n::double) as bigint) as size from a join spans using (entity) where entity % 2 <> 0)
+        s as (select *, cast(ceil((high + 1 - low) / n::double) as bigint) as size from a join spans using (entity) where entity in (select entity from i group by entity having count(*) < {BUSY}))
         select entity, agent, target, action, low + k * size as start_frame, least(low + (k + 1) * size, high + 1) as stop_frame from s where low + k * size < least(low + (k + 1) * size, high + 1)""",
     "validate_intervals": VALID_SQL,
     "segments": f"select entity, start_frame, stop_frame from ({_runs(f'select entity, frame, case when huddle > 0.3 then 1 end as label from ({PROB_SQL})')})",
-    "crop_window": f"""with r as (select * from ({CANONICAL}) where entity = 1), a as (select start_frame as s from r order by stop_frame - start_frame desc, start_frame limit 1)
-        select action, start_frame, stop_frame from r, a where stop_frame > s - 0.5 * 30 and start_frame < s + 0.2 * 30""",
+    "crop_window": f"""with r as ({CANONICAL}), a as (select entity, first(start_frame order by stop_frame - start_frame desc, start_frame) as s from r group by entity)
+        select entity, action, start_frame, stop_frame from r join a using (entity) where stop_frame > s - 0.5 * 30 and start_frame < s + 0.2 * 30""",
     "f1_at_threshold": f"select task, tp, fp, fn, round({F1}, 9) as f1 from (select task, {COUNTS.format(at=0.37)} from ({OOF_SQL}) group by task)",
     "f1_by_fold": f"select fold, tp, fp, fn, round({F1}, 9) as f1 from (select fold, {COUNTS.format(at=0.5)} from ({OOF_SQL}) group by fold)",
     "threshold_grid": f"with o as ({OOF_SQL}), g as (select k / 100.0::double as cut from range(101) r(k)) select task, tp, fp, fn, round(cut, 9) as threshold, round({F1}, 9) as f1 from (select task, cut, {COUNTS.format(at='cut')} from o, g group by 1, 2)",
@@ -229,6 +236,6 @@ ORACLE_SQL = {
     "fold_mean": f"select video_id, round(avg(prediction), 9) as prediction from ({OOF_SQL}) group by 1",
     "oof_audit": f"""with f as (select task, count(distinct fold) as n_folds, {COUNTS.format(at=0.4)} from ({OOF_SQL}) group by task), r as (select task, n_folds, {F1} as x from f)
         select task, n_folds, cast(0 as bigint) as n_bad, task <> 1 and n_folds = 5 as ok, round(x + case when task = 1 then 0.01 else 0 end, 9) as saved_f1, round(x, 9) as recomputed_f1 from r""",
-    "frame_set_f1": SETS.format(i=v.INTERVAL_SQL, s=_sets.format("select * from i where event_id % 2 = 0"), p=_sets.format("select entity, action, start_frame, stop_frame + 1 as stop_frame from i where event_id % 3 <> 0")) + f" select entity, action, tp, fp, fn, round({F1}, 9) as f1 from f",
-    "mean_task_f1": SETS.format(i=v.INTERVAL_SQL, s=_sets.format("select * from i where event_id % 2 = 0"), p=_sets.format("select * from i where event_id % 3 <> 0")) + f" select action, count(*) as n_tasks, round(avg({F1}), 8) as mean_f1, round(median({F1}), 8) as median_f1 from f group by action",
+    "frame_set_f1": f"{SETS} select entity, action, tp, fp, fn, round({F1}, 9) as f1 from f",
+    "mean_task_f1": f"{SETS} select action, count(*) as n_tasks, round(avg({F1}), 8) as mean_f1, round(median({F1}), 8) as median_f1 from f group by action",
 }

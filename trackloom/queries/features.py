@@ -148,7 +148,7 @@ _family("body_axis", lambda df: single.body_axis(df, t, PARTS), [
     {"v_forward_abs": "abs(v_forward)", "v_lateral_abs": "abs(v_lateral)", "slip_angle": "atan2(sin(_slip), cos(_slip))"},
     {"lat_over_fwd": "v_lateral_abs / (v_forward_abs + 1e-6)", "slip_angle_abs": "abs(slip_angle)", "_f": q.flag("v_forward > 1"), "_b": q.flag("v_forward < -1"), "_l": q.flag("v_lateral_abs > v_forward_abs"), "_s": q.flag("abs(slip_angle) < pi() / 6")},
     {f"{n}{w}": q.mean(e, w, True, 4) for w in (15, 30, 60, 120) for n, e in _axis.items()} | {f"{n}{w}": q.std(e, w, True, 4) for w in (15, 30, 60, 120) for n, e in (("v_fwd_s", "v_forward"), ("v_lat_s", "v_lateral"), ("slip_s", "slip_angle"))}
-    | {f"{n}{w}": q.mean(e, w, True, 5) for w in (15, 30, 60, 120) for n, e in (("forward_ratio", "_f"), ("backward_ratio", "_b"), ("lateral_dom_ratio", "_l"), ("slip_align_ratio", "_s"))},
+    | {f"{n}{w}": q.mean(e, w, True, 5) for w in (15, 30, 60, 120) for n, e in (("forward_ratio_", "_f"), ("backward_ratio_", "_b"), ("lateral_dom_ratio_", "_l"), ("slip_align_ratio_", "_s"))},
 ], digits=3)
 
 
@@ -161,7 +161,7 @@ def _micro() -> list[dict[str, str]]:
     last = {f"{name}_hf_m{w}": m(e, w) for name, e in (("head", "_hs"), ("tail", "_ts")) for w in (3, 5, 7)} | {f"{name}_hf_s{w}": q.std(e, w, True, 2) for name, e in (("head", "_hs"), ("tail", "_ts")) for w in (3, 5, 7)} | {f"head_hf_max{w}": q.most("_hs", w, True, 2) for w in (3, 5, 7)}
     last |= {f"{n}_accel_m{w}": m(f"{n}_accel", w) for n in ("head", "tail") for w in (5, 10)} | {f"head_accel_s{w}": q.std("head_accel", w, True, 2) for w in (5, 10)}
     last |= {f"head_jitter_m{w}": m("head_jitter", w) for w in (5, 10, 15)} | {f"head_jitter_sum{w}": q.total("head_jitter", w, True, 2) for w in (5, 10, 15)} | {f"tail_jitter_m{w}": m("tail_jitter", w) for w in (5, 10)}
-    last |= {f"tail_rel_m{w}": m("tail_rel_speed", w, 3) for w in (10, 20)} | {f"{n}_m{w}": m(n, w, 3) for n, sizes in (("head_tail_speed_ratio", (10, 20)), ("head_tail_dir_consistency", (10, 20, 30)), ("head_tail_independence", (15, 30))) for w in sizes}
+    last |= {f"tail_rel_m{w}": m("tail_rel_speed", w, 3) for w in (10, 20)} | {f"{n}_m{w}": m(e, w, 3) for n, e, sizes in (("head_tail_ratio", "head_tail_speed_ratio", (10, 20)), ("head_tail_dir", "head_tail_dir_consistency", (10, 20, 30)), ("head_tail_indep", "head_tail_independence", (15, 30))) for w in sizes}
     return [first, second, third, fourth, last]
 
 

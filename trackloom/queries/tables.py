@@ -27,7 +27,7 @@ def pivot_parts(spark, sf_dir):
 
 
 def densify_frames(spark, sf_dir):
-    df = v.traj(spark, sf_dir).where(c("event_id") % 7 != 0).select("entity", "frame", "x")
+    df = v.traj(spark, sf_dir).select("entity", F.expr("frame + frame div 7").alias("frame"), "x")
     return v.rounded(reshape.densify(df, ["entity"]), ["entity", "frame"], ["x"])
 
 
@@ -68,8 +68,7 @@ def count_mice(spark, sf_dir):
 
 
 def pair_join(spark, sf_dir):
-    df = v.poses(spark, sf_dir).where(c("entity") < v.MICE)
-    made = reshape.pairs(df, [], "entity", "frame", ["tail_base_x", "tail_base_y"])
+    made = reshape.pairs(v.with_video(v.poses(spark, sf_dir)), ["video"], "entity", "frame", ["tail_base_x", "tail_base_y"])
     return v.rounded(made, ["agent", "target", "frame"], ["A_tail_base_x", "B_tail_base_y"])
 
 
@@ -109,7 +108,7 @@ def behavior_coverage(spark, sf_dir):
 
 
 def without_prediction(spark, sf_dir):
-    o = v.table(spark, sf_dir, "orders").select(c("o_custkey").alias("c_custkey"))
+    o = v.table(spark, sf_dir, "orders").where(c("o_orderpriority") == "1-URGENT").select(c("o_custkey").alias("c_custkey"))
     return labels.without_prediction(v.table(spark, sf_dir, "customer"), o, "c_custkey").select("c_custkey", "c_name")
 
 
@@ -184,7 +183,7 @@ def _meta_sql() -> str:
 ORACLE_SQL = {
     "scan_pushdown": "select l_linestatus, count(*) as n, round(sum(l_extendedprice), 2) as price from lineitem where l_quantity >= 45 and l_returnflag = 'R' group by 1",
     "pivot_parts": f"select entity, frame % 10 as slot, {', '.join(f'''round(max({k}) filter (where part = '{p}'), 4) + 0.0 as {p}_{k}''' for p in ('click', 'error', 'purchase') for k in 'xy')} from ({v.TRAJ_SQL}) group by 1, 2",
-    "densify_frames": f"with t as (select * from ({v.TRAJ_SQL}) where event_id % 7 <> 0), e as (select entity, unnest(range(min(frame), max(frame) + 1)) as frame from t group by entity) select entity, frame, round(x, 4) + 0.0 as x from e left join t using (entity, frame)",
+    "densify_frames": f"with t as (select entity, frame + frame // 7 as frame, x from ({v.TRAJ_SQL})), e as (select entity, unnest(range(min(frame), max(frame) + 1)) as frame from t group by entity) select entity, frame, round(x, 4) + 0.0 as x from e left join t using (entity, frame)",
     "usable_videos": f"select lab_id, count(*) as n from ({VIDEO_SQL}) where cells is not null and not starts_with(lab_id, 'MABe22') group by 1",
     "parse_behaviors": f"select video_id, {CELLS} from (select video_id, unnest(list_distinct(cells)) as cell from ({VIDEO_SQL}))",
     "parse_behaviors_all": f"select agent, target, action, count(*) as n, cast(sum(cast(substr(agent, 6) as integer)) as bigint) as agents, cast(sum(case when target <> 'self' then cast(substr(target, 6) as integer) end) as bigint) as targets from (select {CELLS} from (select unnest(cells) as cell from ({VIDEO_SQL}))) group by 1, 2, 3",
@@ -192,13 +191,13 @@ ORACLE_SQL = {
         select video_id, bodypart, count(*) as n from p join n using (video_id) where k <= 5 or bodypart not in ('spine_1', 'tail_midpoint') group by 1, 2""",
     "section_numbers": "select p_type as body_parts_tracked, row_number() over (order by p_type) - 1 as section from (select distinct p_type from part)",
     "count_mice": "select cast(0 + (c_custkey % 2 <> 0)::int + (c_custkey % 3 <> 0)::int + (c_custkey % 4 <> 0)::int as bigint) as n_mice, count(*) as n from customer group by 1",
-    "pair_join": f"""select a.entity as agent, b.entity as target, frame, round(a.tail_base_x, 4) + 0.0 as "A_tail_base_x", round(b.tail_base_y, 4) + 0.0 as "B_tail_base_y" from ({v.POSE_SQL}) a join ({v.POSE_SQL}) b using (frame) where a.entity <> b.entity and a.entity < {v.MICE} and b.entity < {v.MICE}""",
+    "pair_join": f"""select a.entity as agent, b.entity as target, frame, round(a.tail_base_x, 4) + 0.0 as "A_tail_base_x", round(b.tail_base_y, 4) + 0.0 as "B_tail_base_y" from ({v.POSE_SQL}) a join ({v.POSE_SQL}) b using (frame) where a.entity <> b.entity and a.entity // {v.MICE} = b.entity // {v.MICE}""",
     "group_centroid": f"select frame, round(avg(x), 4) + 0.0 as group_x, round(avg(y), 4) + 0.0 as group_y from ({v.TRAJ_SQL}) group by frame",
     "metadata_join": "select n_name, count(*) as n, round(avg(s_acctbal), 4) as mean_balance from supplier join nation on s_nationkey = n_nationkey group by 1",
     "label_inclusive": _label_sql("4"),
     "label_exclusive": _label_sql("3"),
     "behavior_coverage": f"with t as ({v.TRAJ_SQL}) select distinct entity, part from t except select entity, part from t where x > 250",
-    "without_prediction": "select c_custkey, c_name from customer where c_custkey not in (select o_custkey from orders)",
+    "without_prediction": "select c_custkey, c_name from customer where c_custkey not in (select o_custkey from orders where o_orderpriority = '1-URGENT')",
     "row_numbers": "select row_number() over (order by o_custkey, o_orderkey) - 1 as row_id, o_orderkey, o_custkey from orders",
     "meta_onehot": _meta_sql(),
 }

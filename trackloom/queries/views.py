@@ -30,10 +30,10 @@ POSE = {
 PARTS = tuple(POSE)
 COLUMNS = [f"{p}_{k}" for p in PARTS for k in "xy"]
 POSE_SQL = "select entity, frame, " + ", ".join(f"{e} as {p}_{k}" for p, xy in POSE.items() for k, e in zip("xy", xy, strict=True)) + f" from ({TRAJ_SQL})"
-#: Pairs of the users below this number: every ordered pair in a frame.
-MICE = 10
+#: So many users with numbers in a row are the mice of a video; every ordered pair of a video in a frame is a row.
+MICE = 4
 PAIR_SQL = f"""select a.entity as agent, b.entity as target, a.frame as frame, {', '.join(f'a.{c} as "A_{c}", b.{c} as "B_{c}"' for c in COLUMNS)}
-    from ({POSE_SQL}) a join ({POSE_SQL}) b on a.frame = b.frame and a.entity <> b.entity where a.entity < {MICE} and b.entity < {MICE}"""
+    from ({POSE_SQL}) a join ({POSE_SQL}) b on a.entity // {MICE} = b.entity // {MICE} and a.frame = b.frame and a.entity <> b.entity"""
 INTERVAL_SQL = f"select entity, event_id, part as action, frame as start_frame, frame + 1 + event_id % 7 as stop_frame from ({TRAJ_SQL})"
 
 
@@ -58,8 +58,11 @@ def poses(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pose_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     from trackloom.operators.reshape import pairs
 
-    some = poses(spark, sf_dir).where(F.col("entity") < MICE)
-    return pairs(some, [], "entity", "frame", COLUMNS)
+    return pairs(with_video(poses(spark, sf_dir)), ["video"], "entity", "frame", COLUMNS).drop("video")
+
+
+def with_video(df: DataFrame) -> DataFrame:
+    return df.withColumn("video", F.expr(f"entity div {MICE}"))
 
 
 def intervals(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trackloom.functions.frames import norm
@@ -59,7 +59,30 @@ def roll_corr(spark, sf_dir):
 
 
 def ewm_mean(spark, sf_dir):
-    return v.rounded(_x(spark, sf_dir).withColumn("e", t.ewm(c("g"), 15)), K, ["e"])
+    return v.rounded(t.ewm(_x(spark, sf_dir), {"e": ("g", 15)}), K, ["e"])
+
+
+#: Four tracks of all events; x is missing in a run of 1,900 rows, and y where its own number says so.
+LONG_SQL = f"select event_id % 4 as entity, row_number() over (partition by event_id % 4 order by event_id) as frame, x, y, event_id, part from ({v.TRAJ_SQL})"
+LONG = f"select entity, frame, case when frame between 300 and 2199 or part = 'click' then null else x end as g, case when y < 60 then null else y end as h from ({LONG_SQL})"
+
+
+def _long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = v.traj(spark, sf_dir).withColumn("entity", c("event_id") % 4)
+    df = df.withColumn("frame", F.row_number().over(Window.partitionBy("entity").orderBy("event_id")).cast("bigint"))
+    return df.select("entity", "frame", F.when(~c("frame").between(300, 2199) & (c("part") != "click"), c("x")).alias("g"), F.when(c("y") >= 60, c("y")).alias("h"))
+
+
+def ewm_long_gap(spark, sf_dir):
+    return v.rounded(t.ewm(_long(spark, sf_dir), {"e30": ("g", 30), "e3": ("h", 3), "e120": ("h", 120)}), K, ["e30", "e3", "e120"])
+
+
+def gap_fill_long(spark, sf_dir):
+    return v.rounded(missing.fill_gaps(_long(spark, sf_dir), t, ["g", "h"]), K, ["g", "h"])
+
+
+def interpolate_long(spark, sf_dir):
+    return v.rounded(missing.interpolate(_long(spark, sf_dir), t, ["g", "h"]), K, ["g", "h"])
 
 
 def winsor_range(spark, sf_dir):
@@ -124,7 +147,7 @@ def interpolate_smooth(spark, sf_dir):
     return v.rounded(missing.smooth(df, t, ["g", "h"]), K, ["g", "h"])
 
 
-NAMES = ("diff_speed", "lag_lead", "roll_mean_centered", "roll_std_trailing", "roll_minmax", "roll_quantile_iqr", "roll_pct_rank", "roll_corr", "ewm_mean", "winsor_range", "lagged_window_gap", "full_window_mean", "long_window_mean", "gaussian_smooth", "gap_fill", "missing_streak", "missing_features", "missing_pair", "outlier_null", "interpolate_smooth")
+NAMES = ("diff_speed", "lag_lead", "roll_mean_centered", "roll_std_trailing", "roll_minmax", "roll_quantile_iqr", "roll_pct_rank", "roll_corr", "ewm_mean", "ewm_long_gap", "gap_fill_long", "interpolate_long", "winsor_range", "lagged_window_gap", "full_window_mean", "long_window_mean", "gaussian_smooth", "gap_fill", "missing_streak", "missing_features", "missing_pair", "outlier_null", "interpolate_smooth")
 QUERIES = {k: globals()[k] for k in NAMES}
 
 
@@ -149,10 +172,10 @@ def _merge(*many: list[dict[str, str]]) -> list[dict[str, str]]:
     return [{k: e for one in layer for k, e in one.items()} for layer in zip(*many, strict=True)]
 
 
-def _gap_fill_sql() -> str:
+def _gap_fill_sql(base: str = X) -> str:
     o = q.OVER
     two = [{f"{n}_2": f"last_value({n}_1 ignore nulls) over ({o} rows between 8 preceding and current row)" for n in "gh"}, {f"{n}_3": f"first_value({n}_2 ignore nulls) over ({o} rows between current row and 8 following)" for n in "gh"}]
-    inner = q.layered(X, [{"rn": f"row_number() over ({o})"}, *_merge(_fill("g", 8), _fill("h", 8)), *two], K, ["g_3", "h_3"])
+    inner = q.layered(base, [{"rn": f"row_number() over ({o})"}, *_merge(_fill("g", 8), _fill("h", 8)), *two], K, ["g_3", "h_3"])
     return f"select entity, frame, g_3 as g, h_3 as h from ({inner})"
 
 
@@ -206,6 +229,15 @@ def _gaussian_sql() -> str:
         select a.entity, a.frame, round(sum(b.x * a.weight), 4) + 0.0 as s from mirrored a join t b on a.entity = b.entity and b.frame - 1 = case when a.m >= a.n then 2 * a.n - 1 - a.m else a.m end group by 1, 2"""
 
 
+def _ewm_long_sql() -> str:
+    """Rows joined to those before them with a weight above 1e-15; where all of these are missing, the last mean before."""
+    spans = {"e30": ("g", 30), "e3": ("h", 3), "e120": ("h", 120)}
+    near = ", ".join(f"sum(o.{k} * power({1 - 2 / (w + 1)}, t.frame - o.frame)) / sum(case when o.{k} is not null then power({1 - 2 / (w + 1)}, t.frame - o.frame) end) as {n}" for n, (k, w) in spans.items())
+    kept = ", ".join(f"last_value(case when {k} is not null then {n} end ignore nulls) over ({q.OVER} rows between unbounded preceding and current row) as {n}" for n, (k, _) in spans.items())
+    return f"""with t as ({LONG}), j as (select t.entity, t.frame, any_value(t.g) as g, any_value(t.h) as h, {near} from t join t o on o.entity = t.entity and o.frame <= t.frame and o.frame > t.frame - 2100 group by 1, 2),
+        k as (select entity, frame, {kept} from j) select entity, frame, {', '.join(f'round({n}, 4) + 0.0 as {n}' for n in spans)} from k"""
+
+
 def _ewm_sql() -> str:
     a = 2 / 16
     return f"""with t as ({X}) select t.entity, t.frame, round(sum(o.g * power({1 - a}, t.frame - o.frame)) / sum(case when o.g is not null then power({1 - a}, t.frame - o.frame) end), 4) + 0.0 as e
@@ -228,6 +260,9 @@ ORACLE_SQL = {
     "roll_pct_rank": _pct_sql(),
     "roll_corr": q.layered(X, [{"yy": "case when g is not null then y end"}, {"n": f"count(g) over ({q.OVER} {q.rows(60, False)})", "rr": f"corr(g, yy) over ({q.OVER} {q.rows(60, False)})"}, {"r": "case when n >= 10 and not isnan(rr) then rr end"}], K, ["r"]),
     "ewm_mean": _ewm_sql(),
+    "ewm_long_gap": _ewm_long_sql(),
+    "gap_fill_long": _gap_fill_sql(LONG),
+    "interpolate_long": f"select entity, frame, round(coalesce(g_1, avg(g_1) over (partition by entity)), 4) + 0.0 as g, round(coalesce(h_1, avg(h_1) over (partition by entity)), 4) + 0.0 as h from ({q.layered(LONG, [{'rn': f'row_number() over ({q.OVER})'}, *_merge(_fill('g', 0), _fill('h', 0))], K, ['g_1', 'h_1'], 12)})",
     "winsor_range": q.layered(X, [{"lo": "quantile_cont(x, 0.01) over (partition by entity)", "hi": "quantile_cont(x, 0.99) over (partition by entity)"}, {"k": "greatest(least(x, hi), lo)"}, {"rng": f"{q.most('k', 15, True)} - {q.least('k', 15, True)}"}], K, ["k", "rng"]),
     "lagged_window_gap": q.layered(X, [{"gap": f"abs({q.diff('g')} - {q.diff('y')})"}, {"d": f"case when count(gap) over ({q.OVER} rows between 5 preceding and 1 preceding) = 5 then avg(gap) over ({q.OVER} rows between 5 preceding and 1 preceding) end"}], K, ["d"]),
     "full_window_mean": q.layered(X, [{"m": q.mean("g", 4, True, mp=4), "s": q.std("x", 7, True, mp=7)}], K, ["m", "s"]),
