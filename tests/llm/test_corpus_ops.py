@@ -122,7 +122,8 @@ def test_decontamination(spark, docs):
             body = f"{body[:at]} {hidden} {body[at:]}"
             want.add((k, item))
         rows.append((k, body))
-    rows += [(500, None), (501, ""), (502, "short")]
+    rows += [(500, None), (501, ""), (502, "short"), (503, "a SHORT, one"), (504, "shorter or too_shorts"), (505, "all too short")]
+    want |= {(502, 91), (503, 91), (505, 91)}
     bench = spark.createDataFrame(items, "item_id bigint, text string")
     found = decontaminate.find(docs(rows), bench).collect()
     assert {(x.doc_id, x.item_id) for x in found} == want
@@ -146,6 +147,27 @@ def test_many_short_items_are_all_found(spark):
     assert {(k, k) for k in asked} <= found
 
 
+def test_short_items_are_whole_words():
+    r = random.Random(4)
+    items = [(k, "".join(r.choices("ab", k=r.randint(1, 4)))) for k in range(40)] + [(40, "ab ab"), (41, "b a"), (42, "ab")]
+    texts = ["".join(r.choices("ab  .", k=r.randint(0, 30))) for _ in range(200)]
+    raw = [t.encode() for t in texts]
+    offsets = np.cumsum([0, *map(len, raw)])
+    got = decontaminate.scan(np.frombuffer(b"".join(raw), np.uint8), offsets, index := decontaminate.Index.of(items))
+    plain = [" " + " ".join(re.findall(r"\w+", t)) + " " for t in texts]
+    assert {(int(a), int(index.ids[b])) for a, b in zip(*got[:2], strict=True)} == {(k, i) for k, t in enumerate(plain) for i, x in items if f" {x} " in t}
+    for a, b, low, high in zip(*got[:4], strict=True):
+        assert " ".join(re.findall(r"\w+", texts[a][low:high])) == dict(items)[int(index.ids[b])]
+
+
+def test_tallies_beyond_64_bits_are_those_of_sorting():
+    r = np.random.default_rng(3)
+    row, item, band = r.integers(0, 5, 500), r.integers(0, 4, 500), r.integers(0, 6, 500)
+    small = decontaminate.tallied(row, item, band)
+    large = decontaminate.tallied(row << 30, item << 30, band << 20)
+    assert all((a << k == b).all() for a, b, k in zip(small, large, (30, 30, 20, 0), strict=True))
+
+
 def test_alignment_is_the_edit_distance():
     r = random.Random(7)
     for _ in range(30):

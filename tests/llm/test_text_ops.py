@@ -35,7 +35,6 @@ def test_tokens_equal_the_tokenizer(bpe):
     from tokenizers import Tokenizer
 
     plain = Tokenizer.from_file(bpe)
-    plain.encode_special_tokens = True
     r = random.Random(1)
     bits = ["'", "s", "re", "'s", "'ll", " ", "  ", "\n", "é", "Z", "1", "²", "$", "漢", "😀", "<|endoftext|>", "\x1c", " 's", "hello"]
     texts = EDGES + ["".join(r.choices(bits, k=r.randint(0, 40))) for _ in range(2000)]

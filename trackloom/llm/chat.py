@@ -38,8 +38,8 @@ def escape_role(role: Column) -> Column:
 
 def unescape_role(role: Column) -> Column:
     """Undoes escape_role: after the text escape, each backslash pair or backslash n stands for one character."""
-    out = F.replace(unescape(role), F.lit("\\\\"), F.lit("\x00\x01"))
-    return F.replace(F.replace(out, F.lit("\\n"), F.lit("\n")), F.lit("\x00\x01"), F.lit("\\"))
+    parts = F.split(unescape(role), r"\\\\", -1)  # at pairs of backslashes, from the left
+    return F.array_join(F.transform(parts, lambda p: F.replace(p, F.lit("\\n"), F.lit("\n"))), "\\")
 
 
 def text_part(text: Column) -> Column:

@@ -5,9 +5,10 @@ text with e edits at most only if they share m + 1 - q * (e + 1) q-grams whose d
 in the item) differ by e at most. scan() counts the shared q-grams of each item in overlapping diagonal bands, of which
 one holds any such range of diagonals, retains the bands that meet the bound, and verifies each by a banded alignment.
 
-The edit budget e is rate * m, but never so much that the bound falls under 1; items of fewer than Q characters can't
-share a q-gram and are never found. Benchmarks are compared in blocks of about BLOCK characters and at most ITEMS items,
-which bounds what is sent to executors; each block passes over all documents.
+The edit budget e is rate * m, but never so much that the bound falls under 1. Items of fewer than Q characters share no
+q-gram, and their budget is 0: they are found where they stand as whole words, by hashes of the words' characters.
+Benchmarks are compared in blocks of about BLOCK characters and at most ITEMS items, which bounds what is sent to
+executors; each block passes over all documents.
 
 Nulls: a null or empty text holds no item, a null or empty item is in no text; rows with null ids are compared too.
 Repeated rows are reported one by one. Of an item's regions in a text, the one with the fewest edits is reported, the
@@ -32,9 +33,7 @@ from trackloom.llm.tokens import NUMBER, classes
 Q = 9
 RATE = 0.09
 BLOCK = 4_000_000
-#: A band's key holds the numbers of a row, an item and a band in so many bits.
-ROW_BITS, ITEM_BITS, BAND_BITS = 20, 18, 26
-ITEMS = 1 << ITEM_BITS
+ITEMS = 1 << 18
 #: Alignments made at once.
 BATCH = 256
 START_BITS = 24
@@ -66,16 +65,30 @@ def normal(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return codes[at], at - np.repeat(points[:-1], np.diff(begin)), begin
 
 
-def grams(codes: np.ndarray) -> np.ndarray:
-    """64-bit hashes of all q-grams."""
-    if len(codes) < Q:
+def grams(codes: np.ndarray, size: int = Q) -> np.ndarray:
+    """64-bit hashes of all runs of size characters."""
+    if len(codes) < size:
         return np.zeros(0, np.uint64)
-    out = np.zeros(len(codes) - Q + 1, np.uint64)
-    for weight, k in zip(tx.seeds(Q, 3) | np.uint64(1), range(Q), strict=True):
-        out += codes[k : len(codes) - Q + 1 + k] * weight
+    out = np.zeros(len(codes) - size + 1, np.uint64)
+    for weight, k in zip(tx.seeds(Q, 3) | np.uint64(1), range(size), strict=False):
+        out += codes[k : len(codes) - size + 1 + k] * weight
     return tx.mix(out)
 
 
+def tallied(row: np.ndarray, item: np.ndarray, band: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct (row, item, band) in order, and how often each is there."""
+    if not len(row):
+        return (np.zeros(0, np.int64),) * 4
+    items, bands = int(item.max()) + 1, int(band.max()) + 1
+    if (int(row.max()) + 1) * items * bands < 1 << 63:
+        key, count = np.unique((row * items + item) * bands + band, return_counts=True)
+        return key // bands // items, key // bands % items, key % bands, count
+    order = np.lexsort((band, item, row))
+    row, item, band = row[order], item[order], band[order]
+    head = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (item[1:] != item[:-1]) | (band[1:] != band[:-1])))
+    return row[head], item[head], band[head], np.diff(np.append(head, len(row)))
+
+
 @dataclass
 class Index:
     """q-grams of a block of items: sorted hashes, and for each the (item, place) where it stands."""
@@ -99,13 +112,13 @@ class Index:
             if len(raw):
                 own = normal(raw, np.array([0, len(raw)]))[0]
                 own = own[:-1] if len(own) and own[-1] == 0 else own
-                if len(own) >= Q:
+                if len(own):
                     ids.append(item_id)
                     codes.append(own.astype(np.uint64))
         size = np.array([len(c) for c in codes], np.int64)
-        edits = np.minimum((size * rate).astype(np.int64), (size - Q) // Q)
+        edits = np.maximum(np.minimum((size * rate).astype(np.int64), (size - Q) // Q), 0)
         item = np.repeat(np.arange(len(codes)), np.maximum(size - Q + 1, 0))
-        place = np.concatenate([np.arange(n - Q + 1) for n in size]) if len(size) else np.zeros(0, np.int64)
+        place = np.concatenate([np.arange(max(0, n - Q + 1)) for n in size]) if len(size) else np.zeros(0, np.int64)
         every = np.concatenate([grams(c) for c in codes]) if codes else np.zeros(0, np.uint64)
         order = np.argsort(every, kind="stable")
         hashes, first = np.unique(every[order], return_index=True)
@@ -114,6 +127,31 @@ class Index:
     def __post_init__(self) -> None:
         self.quick = np.zeros(1 << 22, bool)
         self.quick[(self.hashes >> np.uint64(42)).astype(np.int64)] = True
+        self.short = {}  # by length: hashes in order, and the items that have them
+        size = np.array([len(c) for c in self.codes], np.int64)
+        for n in np.unique(size[size < Q]).tolist():
+            items = np.flatnonzero(size == n)
+            hashes = np.concatenate([grams(self.codes[i], n) for i in items])
+            order = np.argsort(hashes, kind="stable")
+            self.short[n] = hashes[order], items[order]
+
+    def words(self, codes: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(row, item, start, end) of all short items that stand in the rows as whole words."""
+        out = [(np.zeros(0, np.int64),) * 4]
+        edge = np.append(codes == 0, True)  # where a word ends: at a blank, or where a row begins
+        edge[begin] = True
+        fresh = np.flatnonzero(~edge[:-1] & np.append(True, codes[:-1] == 0)[: len(codes)] | np.isin(np.arange(len(codes)), begin) & (codes > 0)) if self.short else []
+        for n, (hashes, items) in self.short.items():
+            at = fresh[fresh + n <= len(codes)]
+            row = np.searchsorted(begin, at, side="right") - 1
+            inside = (at + n <= begin[row + 1]) & edge[at + n]
+            at, row = at[inside], row[inside]
+            own = grams(codes, n)[at] if len(at) else np.zeros(0, np.uint64)
+            low, high = np.searchsorted(hashes, own, side="left"), np.searchsorted(hashes, own, side="right")
+            which = np.repeat(np.arange(len(at)), high - low)
+            item = items[np.repeat(low - np.append(0, np.cumsum(high - low)[:-1]), high - low) + np.arange(len(which))] if len(which) else np.zeros(0, np.int64)
+            out.append((row[which], item, at[which], at[which] + n))
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
     def bands(self, codes: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, ...]:
         """(row, item, lowest diagonal, shared q-grams) of the bands that meet the bound."""
@@ -136,16 +174,11 @@ class Index:
         out = []
         for shift in (0, 1):  # bands of two halves, by one half apart
             band = (diagonal + shift * half) // (2 * half)
-            if len(row) and (row.max() >> ROW_BITS or item.max() >> ITEM_BITS or band.max() >> BAND_BITS):
-                raise ValueError(f"row {row.max()}, item {item.max()} or band {band.max()} doesn't fit in a key")
-            key = np.sort((row.astype(np.uint64) << np.uint64(ITEM_BITS + BAND_BITS)) | (item.astype(np.uint64) << np.uint64(BAND_BITS)) | band.astype(np.uint64))
-            head = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
-            count, key = np.diff(np.append(head, len(key))), key[head]
-            i = ((key >> np.uint64(BAND_BITS)) & np.uint64(ITEMS - 1)).astype(np.int64)
+            r, i, band, count = tallied(row, item, band)
             good = count >= self.least[i]
-            key, i, count = key[good], i[good], count[good]
-            low = (key & np.uint64((1 << BAND_BITS) - 1)).astype(np.int64) * 2 * (self.edits[i] + 1) - shift * (self.edits[i] + 1) - self._margin
-            out.append(((key >> np.uint64(ITEM_BITS + BAND_BITS)).astype(np.int64), i, low, count))
+            r, i, band, count = (x[good] for x in (r, i, band, count))
+            half_i = self.edits[i] + 1
+            out.append((r, i, (2 * band - shift) * half_i - self._margin, count))
         row, item, low, count = (np.concatenate(x) for x in zip(*out, strict=True))
         order = np.lexsort((low, item, row))
         row, item, low, count = (x[order] for x in (row, item, low, count))
@@ -201,6 +234,9 @@ def scan(data: np.ndarray, offsets: np.ndarray, index: Index) -> tuple[np.ndarra
         edits[part], start[part], end[part] = index.verify(codes, begin, row[part], item[part], low[part])
     good = edits <= index.edits[item] if len(item) else np.zeros(0, bool)
     row, item, edits, start, end, shared = (x[good] for x in (row, item, edits, start, end, shared))
+    short = index.words(codes, begin)
+    zero = np.zeros(len(short[0]), np.int64)
+    row, item, edits, start, end, shared = (np.concatenate(x) for x in zip((row, item, edits, start, end, shared), (short[0], short[1], zero, short[2], short[3], zero), strict=True))
     order = np.lexsort((start, edits, item, row))
     row, item, edits, start, end, shared = (x[order] for x in (row, item, edits, start, end, shared))
     new = np.append(True, (row[1:] != row[:-1]) | (item[1:] != item[:-1])) if len(row) else np.zeros(0, bool)
@@ -226,9 +262,8 @@ def _keep(batches: Iterator[pa.RecordBatch], index: Index, column: str) -> Itera
 
 
 def blocks(benchmark: DataFrame, most: int = BLOCK) -> Iterator[Index]:
-    """Indexes of the items, block by block, each of about most characters and at most ITEMS items. Texts of fewer than
-    Q characters are never found, so they are left out before they are dealt."""
-    items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text")).where(F.length("text") >= Q)
+    """Indexes of the items, block by block, each of about most characters and at most ITEMS items."""
+    items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text")).where(F.length("text") > 0)
     total = items.agg(F.sum(F.length("text")).alias("size"), F.count(F.lit(1)).alias("n")).first()
     count = max(-(-(total.size or 0) // most), -(-total.n * 2 // ITEMS))  # blocks aren't equal, so half of ITEMS on average
     for k in range(count):

@@ -52,7 +52,7 @@ WALLS = frozenset("ul ol dl table select article section div main aside nav head
 BREAKOUT = WALLS | ENDED_BY["p"] | frozenset("b big body br center code em embed i img menu s small span strong strike sub sup tt u var caption tbody tfoot thead a button label html head noscript figcaption summary dialog iframe".split())
 
 _SKIP = "|".join(SKIPPED)
-MARKUP = re.compile(rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<({_SKIP})(?:\s[^>]*)?(?:/>|>.*?(?:</\1\s*>|\Z))|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S | re.I)
+MARKUP = re.compile(rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<({_SKIP})(?:\s[^>]*)?(?:/>|>.*?(?:</\1\s*>|\Z))|<(/?)([A-Za-z][^\s/>]*)((?:=\s*(?:\"[^\"]*\"|'[^']*')|[^>])*)(?:>|\Z)", re.S | re.I)
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 WORD = re.compile(r"[a-z]+")
 BLANKS = re.compile(r"\s+")
@@ -60,8 +60,8 @@ BLANKS = re.compile(r"\s+")
 PATH_BUCKETS, WORD_BUCKETS = 4096, 4096
 PATH_DIM, WORD_DIM, SHAPE_DIM, HIDDEN = 12, 6, 3, 12
 INPUT = PATH_DIM + WORD_DIM + SHAPE_DIM
-#: Pages in one batch of sequences.
-BATCH = 64
+#: Blocks in one batch of sequences, padded to the longest page's; one page may have more.
+CELLS = 1 << 14
 
 
 @lru_cache(100_000)
@@ -294,8 +294,9 @@ class Labeller:
         """Which blocks of each page are content."""
         out: list[np.ndarray] = [np.zeros(0, bool)] * len(pages)
         order = sorted(range(len(pages)), key=lambda k: len(pages[k].texts))
-        for k in range(0, len(order), BATCH):
-            part = order[k : k + BATCH]
+        while order:
+            longest = max(1, len(pages[order[-1]].texts))
+            part, order = order[-max(1, CELLS // longest) :], order[: -max(1, CELLS // longest)]
             x, mask, _ = self.inputs([pages[p] for p in part])
             keep = self.logits(x, mask) > 0
             for row, p in enumerate(part):

@@ -102,6 +102,8 @@ def read(image: bytes) -> np.ndarray:
         if len(body) < size or len(check) < 4 or struct.unpack(">I", check)[0] != zlib.crc32(body, zlib.crc32(kind)):
             raise ValueError(f"checksum of {kind!r}")
         if kind == b"IHDR":
+            if size != 13:
+                raise ValueError("size of the header")
             header = struct.unpack(">IIBBBBB", body)
         elif kind == b"IDAT":
             packed.append(body)
@@ -113,8 +115,13 @@ def read(image: bytes) -> np.ndarray:
     if depth != 8 or colour not in SAMPLES or lace:
         raise ValueError("only 8-bit samples without palette or interlace")
     step = SAMPLES[colour]
-    data = zlib.decompress(b"".join(packed))
-    if len(data) != height * (width * step + 1):
+    size = height * (width * step + 1)
+    stream = zlib.decompressobj()
+    try:
+        data = stream.decompress(b"".join(packed), size + 1)  # no more than the header says, whatever the stream holds
+    except zlib.error as error:
+        raise ValueError("pixel data can't be unpacked") from error
+    if not size or len(data) != size or not stream.eof:
         raise ValueError("size of the pixel data")
     return unfilter(np.frombuffer(data, np.uint8).reshape(height, width * step + 1), step).reshape(height, width, step)
 

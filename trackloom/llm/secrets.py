@@ -5,7 +5,7 @@ of a pattern: the lengths of the pieces and of the matches add up to positions.
 distinct repositories and owners of each candidate value (by its SHA-256): a value of many owners, or of many
 repositories however few their owners, is a copied example; one of few of both that isn't a placeholder looks live. redact() writes a mark over live values.
 
-Nulls: a null text is an empty one; a null owner or repository counts as one of its own. Repeated rows are rows of their
+Nulls: a null text is an empty one; all null owners are one owner, and all null repositories one repository. Repeated rows are rows of their
 own and don't add owners or repositories. Spans are ordered by start, then kind as in KINDS. An empty table gives an
 empty result. Extra columns are kept by redact() and not read otherwise; names of working columns start with `_secret`.
 """
@@ -53,20 +53,43 @@ MARK = "<secret>"
 OWNERS, REPOSITORIES = 3, 10
 
 
-def spans(text: Column, kind: Kind, number: int) -> Column:
-    """Spans of one kind: start and end of the match, start of its value (it ends with the match), hash of the value."""
-    whole, value = F.regexp_extract_all(text, F.lit(kind.pattern), 0), F.regexp_extract_all(text, F.lit(kind.pattern), kind.group)
-    pieces = F.split(text, kind.pattern, -1)
-    row = F.zip_with(pieces, F.zip_with(whole, value, lambda m, v: F.struct(m.alias("m"), v.alias("v"))), lambda p, x: F.struct(F.length(p).cast("bigint").alias("gap"), F.length(x["m"]).cast("bigint").alias("size"), x["v"].alias("v")))
-    row = F.filter(row, lambda x: x["v"].isNotNull())
+#: Matches whose positions are added up at once.
+STRIDE = 64
+
+
+def _let(value: Column, use) -> Column:
+    """use(value) with value computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _placed(rows: Column) -> Column:
+    """Start, end and value of matches (gap before it, size, v), by running sums: first the totals of strides of STRIDE
+    matches, then within each, so that a text of many matches costs about its matches times STRIDE."""
     none = F.array().cast("array<struct<start:bigint,end:bigint,v:string>>")
+    total = lambda part: F.aggregate(part, F.lit(0).cast("bigint"), lambda s, x: s + x["gap"] + x["size"])
+    strides = F.filter(F.transform(F.sequence(F.lit(0), F.floor((F.size(rows) / STRIDE)).cast("int")), lambda k: F.slice(rows, k * STRIDE + 1, F.lit(STRIDE))), lambda x: F.size(x) > 0)
 
     def step(done: Column, x: Column) -> Column:
         start = done["at"] + x["gap"]
         end = start + x["size"]
         return F.struct(end.alias("at"), F.concat(done["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["v"].alias("v")))).alias("out"))
 
-    found = F.aggregate(row, F.struct(F.lit(0).cast("bigint").alias("at"), none.alias("out")), step, lambda done: done["out"])
+    within = lambda part, base: F.aggregate(part, F.struct(base.alias("at"), none.alias("out")), step, lambda done: done["out"])
+    before = lambda totals: F.transform(totals, lambda t, k: F.aggregate(F.slice(totals, F.lit(1), k), F.lit(0).cast("bigint"), lambda a, x: a + x))
+    return _let(strides, lambda parts: _let(F.transform(parts, total), lambda totals: F.flatten(F.zip_with(parts, before(totals), within))))
+
+
+def spans(text: Column, kind: Kind, number: int) -> Column:
+    """Spans of one kind: start and end of the match, start of its value (it ends with the match), hash of the value."""
+    whole = F.regexp_extract_all(text, F.lit(kind.pattern), 0)
+    pieces, long = F.split(text, kind.pattern, -1), lambda x: F.length(x).cast("bigint")
+    if kind.group:
+        value = F.regexp_extract_all(text, F.lit(kind.pattern), kind.group)
+        matches = F.zip_with(whole, value, lambda m, v: F.struct(long(m).alias("size"), v.alias("v")))
+    else:
+        matches = F.transform(whole, lambda m: F.struct(long(m).alias("size"), m.alias("v")))
+    row = F.filter(F.zip_with(pieces, matches, lambda p, x: F.struct(long(p).alias("gap"), x["size"].alias("size"), x["v"].alias("v"))), lambda x: x["v"].isNotNull())
+    found = _let(row, _placed)
     if kind.least:
         found = F.filter(found, lambda x: F.length(x["v"]) >= kind.least)
     made = F.transform(found, lambda x: F.struct(x["start"].alias("start"), F.lit(number).alias("kind_no"), x["end"].alias("end"), (x["end"] - F.length(x["v"])).cast("bigint").alias("from"), F.sha2(x["v"].cast("binary"), 256).alias("hash"), x["v"].rlike(FILLER).alias("filler")).cast(SPAN))

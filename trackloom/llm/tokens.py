@@ -3,7 +3,8 @@
 A byte-level BPE never merges across its pre-tokens, so the ids of a text are those of its pre-tokens in order. The
 pre-tokens of a slab are found and hashed with numpy; only those not met before are encoded. Where the file's merges
 stand in the order of their ids, its vocabulary is a rank table, and tiktoken merges by it several times as fast;
-otherwise the tokenizers library does.
+otherwise the tokenizers library does. A text that holds the string of one of the file's added tokens is encoded by the
+library as a whole, and so is every text if the file has a normalizer or another way to split than the byte-level one.
 """
 
 from __future__ import annotations
@@ -91,15 +92,25 @@ def ranks(path: str) -> dict[bytes, int] | None:
     return found if len(found) == len(joined) + 256 else None
 
 
+def _byte_level(model: dict) -> bool:
+    """Whether a tokenizers file splits texts by the rule of pretokens()."""
+    split = model.get("pre_tokenizer") or {}
+    return model.get("normalizer") is None and split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True)
+
+
 class Encoder:
-    """Ids of rows of text by a tokenizers file."""
+    """Ids of rows of text by a tokenizers file, without those that it adds around a text."""
 
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        with open(path, encoding="utf-8") as file:
+            model = json.load(file)
+        self.added = [t["content"] for t in model.get("added_tokens") or [] if t["content"]]
+        self.whole = not _byte_level(model)  # nothing is known of how it splits texts
+        del model
         self.merge = None
         if (table := ranks(path)) is not None:
             import tiktoken
@@ -122,8 +133,36 @@ class Encoder:
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Joined ids of the rows of a slab, and each row's number of ids."""
-        rows = len(offsets) - 1
-        text = data.tobytes().decode("utf-8", "replace")
+        body = data.tobytes()
+        special = sorted(set(range(len(offsets) - 1)) if self.whole else self._with_added(body, offsets))
+        if not special:
+            return self._encode(body, offsets)
+        plain = np.setdiff1d(np.arange(len(offsets) - 1), special)
+        ends = np.cumsum([0, *(int(offsets[k + 1] - offsets[k]) for k in plain)])
+        ids, sizes = self._encode(b"".join(body[offsets[k] : offsets[k + 1]] for k in plain), ends)
+        out: list[np.ndarray] = [np.zeros(0, np.uint32)] * (len(offsets) - 1)
+        for k, own in zip(plain, np.split(ids, np.cumsum(sizes)[:-1]) if len(plain) else [], strict=True):
+            out[k] = own
+        for k in special:
+            out[k] = np.array(self.tokenizer.encode(body[offsets[k] : offsets[k + 1]].decode("utf-8", "replace"), add_special_tokens=False).ids, np.uint32)
+        return np.concatenate(out), np.array([len(x) for x in out], np.int64)
+
+    def _with_added(self, body: bytes, offsets: np.ndarray) -> set[int]:
+        """Rows that hold the string of an added token."""
+        found = set()
+        for token in self.added:
+            raw = token.encode()
+            at = body.find(raw)
+            while at >= 0:
+                row = int(np.searchsorted(offsets, at, side="right")) - 1
+                if at + len(raw) <= offsets[row + 1]:
+                    found.add(row)
+                at = body.find(raw, at + 1)
+        return found
+
+    def _encode(self, body: bytes, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        rows, data = len(offsets) - 1, np.frombuffer(body, np.uint8)
+        text = body.decode("utf-8", "replace")
         codes = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
         points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[offsets]
         start = pretokens(codes, points)
