@@ -137,6 +137,81 @@ def test_run_resumes_and_refuses_other_contracts(spark, tables, tmp_path):
     assert found.count() >= 6 and found.where("start_frame >= stop_frame").count() == 0
 
 
+def _task_rows(spark):
+    rows = [(v, "mouse1", "self", f, int((f + v) % 7 < 3), float((f + v) % 7), float(f * 13 % 10)) for v in range(6) for f in range(40)]
+    return spark.createDataFrame(rows, "video_id bigint, agent_id string, target_id string, video_frame bigint, label int, a double, b double"), ["a", "b"]
+
+
+def test_interrupted_task_goes_on_after_its_last_fold(spark, tmp_path, monkeypatch):
+    plan, trees, calls, fit = (lambda: _task_rows(spark)), model.Trees(trees=2, depth=2), [], model.fit_fold
+    tasks = [(run.Task(0, "single", a), plan) for a in ("rear", "rest")]
+    whole = run.train(tasks, str(tmp_path / "whole"), spark, trees, folds=3)
+
+    def failing(rows, fold, *more):
+        if fold == 1:
+            raise RuntimeError("simulated interruption")
+        calls.append(fold)
+        return fit(rows, fold, *more)
+
+    monkeypatch.setattr(model, "fit_fold", failing)
+    with pytest.raises(RuntimeError, match="simulated"):
+        run.train(tasks, str(tmp_path / "cut"), spark, trees, folds=3)
+    assert calls == [0] and run.read_json(spark, f"{tmp_path}/cut/run_status.json")["status"] == "failed"
+    monkeypatch.setattr(model, "fit_fold", lambda rows, fold, *more: (calls.append(fold), fit(rows, fold, *more))[1])
+    assert run.train(tasks, str(tmp_path / "cut"), spark, trees, folds=3) == whole
+    assert calls == [0, 1, 2, 0, 1, 2]
+    status = run.read_json(spark, f"{tmp_path}/cut/run_status.json")
+    assert (status["status"], status["trained_tasks"]) == ("complete", 2)
+    run.keep_score(spark, str(tmp_path / "cut"), {"section": 0, "kind": "single", "action": "rear", "threshold": 0.1, "f1": 0.2, "n_rows": 3})
+    assert [(r["action"], r["f1"]) for r in run.scores(spark, str(tmp_path / "cut"))] == [("rest", whole[1]["f1"]), ("rear", 0.2)]
+
+
+def test_a_damaged_or_foreign_fold_is_refused(spark, tmp_path, monkeypatch):
+    trees, task = model.Trees(trees=2, depth=2), run.Task(0, "single", "rear")
+    fit = model.fit_fold
+    monkeypatch.setattr(model, "fit_fold", lambda rows, fold, *more: fit(rows, fold, *more) if fold < 1 else (_ for _ in ()).throw(RuntimeError("stop")))
+    with pytest.raises(RuntimeError, match="stop"):
+        run.train([(task, lambda: _task_rows(spark))], str(tmp_path), spark, trees, folds=3)
+    folder = f"{tmp_path}/{task.folder}"
+    with pytest.raises(run.ContractError, match="another contract"):
+        run.train_task(*_task_rows(spark), model.Trees(trees=3, depth=2), 3, folder)
+    table = spark.read.parquet(f"{folder}/folds/oof_0")
+    changed = table.withColumn("prediction", c("prediction") + 0.001).collect()
+    spark.createDataFrame(changed, table.schema).write.mode("overwrite").parquet(f"{folder}/folds/oof_0")
+    with pytest.raises(run.ContractError, match="checksums"):
+        run.train_task(*_task_rows(spark), trees, 3, folder)
+
+
+def test_run_pauses_after_a_fold(spark, tmp_path):
+    budget, task = run.Budget(hours=1), run.Task(0, "single", "rear")
+    plain = budget.check_fold
+
+    def late(*where):
+        if run._exists(spark, f"{tmp_path}/{task.folder}/folds/0.json"):
+            budget.began -= 4 * 3600
+        plain(*where)
+
+    budget.check_fold = late
+    with pytest.raises(run.Paused):
+        run.train([(task, lambda: _task_rows(spark))], str(tmp_path), spark, model.Trees(trees=2, depth=2), folds=3, budget=budget)
+    assert run.read_json(spark, f"{tmp_path}/run_status.json")["status"] == "paused"
+    assert run._exists(spark, f"{tmp_path}/{task.folder}/folds/0.json") and not run._exists(spark, f"{tmp_path}/{task.folder}/folds/1.json")
+
+
+def test_class_weights(spark):
+    df = spark.createDataFrame([(1,), (0,), (0,), (0,), (0,)], "label int")
+    assert sorted(r.weight for r in model.class_weights(df).collect()) == [1, 1, 1, 1, 2]
+
+
+def test_trace_and_header(spark, tmp_path):
+    df = spark.createDataFrame([(1, "mouse1", "self", 5, 0.25)], "video_id bigint, agent_id string, target_id string, video_frame bigint, rear double")
+    io.write_trace(df, str(tmp_path / "trace"), ["rear"])
+    assert spark.read.parquet(str(tmp_path / "trace")).first().probability_rear == 0.25 and (tmp_path / "trace" / "video_id=1" / "agent_id=mouse1" / "target_id=self").is_dir()
+    (tmp_path / "bad.csv").write_text("row,video_id\n0,1\n")
+    with pytest.raises(ValueError, match="header"):
+        io.check_written(spark, str(tmp_path / "bad.csv"))
+
+
 def test_prediction_needs_its_features(spark, tmp_path):
     df = spark.createDataFrame([(k % 2, float(k % 2), 0.0, k % 2) for k in range(40)], "label int, a double, b double, fold int")
     _, models = model.cross_validate(df, ["a", "b"], model.Trees(trees=1, depth=1), folds=2)

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackloom.functions.frames import Track
+from trackloom.operators.durations import LEAST_FRAMES, LEAST_OTHERWISE
 
 c = F.col
 NONE = "none"
@@ -99,7 +100,19 @@ def gaussian(t: Track, value: Column, sigma: float = 2.0, truncate: float = 4.0)
     return out
 
 
-def scored(df: DataFrame, t: Track, cutoffs: dict[str, float], least_frames: dict[str, int], lab: str, default: int = 5) -> DataFrame:
+def long_enough(found: DataFrame, lab: Column, least_frames: dict[str, int] | None = None, default: int = LEAST_OTHERWISE) -> DataFrame:
+    """Intervals of at least the lab's and action's number of frames; those without a stop count as long enough."""
+    table = F.create_map(*(x for k, v in (LEAST_FRAMES if least_frames is None else least_frames or {"": 0}).items() for x in (F.lit(k), F.lit(int(v)))))
+    least = F.coalesce(F.try_element_at(table, F.concat(lab, F.lit("_"), c("action"))), F.lit(default))
+    return found.where(c("stop_frame").isNull() | (c("stop_frame") - c("start_frame") >= least))
+
+
+def pair_order(agent: str = "agent_id", target: str = "target_id") -> list[Column]:
+    """How (agent, target) are listed: by agent, the agent itself first and then the other targets."""
+    return [c(agent), c(target) != "self", c(target)]
+
+
+def scored(df: DataFrame, t: Track, cutoffs: dict[str, float], least_frames: dict[str, int] | None, lab: str, default: int = LEAST_OTHERWISE) -> DataFrame:
     """Decoding of smoothed fold means: a score is p / cut-off where p reaches it, else 0; runs of the best score of at
     least the lab's and action's number of frames. A run without a stop counts as long enough here and is dropped then,
     as is the first run of a track."""
@@ -107,9 +120,7 @@ def scored(df: DataFrame, t: Track, cutoffs: dict[str, float], least_frames: dic
     smoothed = smoothed.withColumns({f"_q_{a}": F.when(c(f"_s_{a}") >= v, F.coalesce(F.try_divide(c(f"_s_{a}"), F.lit(float(v))), F.lit(0.0))).otherwise(0.0) for a, v in cutoffs.items()})
     name, best = winner({a: c(f"_q_{a}") for a in cutoffs})
     made = by_change(smoothed.withColumn("_label", F.when(best == 0, NONE).otherwise(name)), t, "_label").where(c("action") != NONE)
-    table = F.create_map(*(x for k, v in (least_frames or {"": 0}).items() for x in (F.lit(k), F.lit(int(v)))))
-    least = F.coalesce(F.try_element_at(table, F.concat(F.lit(f"{lab}_"), c("action"))), F.lit(default))
-    return drop_invalid(made.where(c("stop_frame").isNull() | (c("stop_frame") - c("start_frame") >= least)))
+    return drop_invalid(long_enough(made, F.lit(lab), least_frames, default))
 
 
 def drop_invalid(found: DataFrame) -> DataFrame:

@@ -52,6 +52,13 @@ def best_threshold(df: DataFrame, steps: int = 100, keys: list[str] | None = Non
     return (grid.groupBy(*keys) if keys else grid.groupBy()).agg(best).select(*(keys or []), "b.*")
 
 
+def mean_fold_threshold(df: DataFrame, steps: int = 100, keys: list[str] | None = None) -> DataFrame:
+    """Mean over the folds of each fold's own best threshold."""
+    keys = keys or []
+    each = best_threshold(df, steps, [*keys, "fold"])
+    return (each.groupBy(*keys) if keys else each.groupBy()).agg(F.avg("threshold").alias("threshold"), F.count(F.lit(1)).cast("bigint").alias("n_folds"))
+
+
 def frame_set_f1(solution: DataFrame, submission: DataFrame, group: list[str]) -> DataFrame:
     """F1 of the sets of covered frames for each of group (which has video, agent, target and action)."""
     frames = lambda d: d.where("start_frame < stop_frame").select(*group, F.explode(F.sequence(c("start_frame"), c("stop_frame") - 1)).alias("frame")).distinct()

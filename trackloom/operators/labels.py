@@ -6,6 +6,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 c = F.col
+#: Behaviours of a mouse by itself, and of one towards another.
+SELF_BEHAVIOURS = ("biteobject", "climb", "dig", "exploreobject", "freeze", "genitalgroom", "huddle", "rear", "rest", "run", "selfgroom")
+PAIR_BEHAVIOURS = (
+    "allogroom", "approach", "attack", "attemptmount", "avoid", "chase", "chaseattack", "defend", "disengage", "dominance", "dominancegroom", "dominancemount", "ejaculate",
+    "escape", "flinch", "follow", "intromit", "mount", "reciprocalsniff", "shepherd", "sniff", "sniffbody", "sniffface", "sniffgenital", "submit", "tussle",
+)
+
+
+def of_kind(behaviours: DataFrame, kind: str, column: str = "action") -> DataFrame:
+    """Behaviours of the kind `self` or `pair`, by their names; unknown names are of neither."""
+    return behaviours.where(c(column).isin(*{"self": SELF_BEHAVIOURS, "pair": PAIR_BEHAVIOURS}[kind]))
+
+
+def of_videos(solution: DataFrame, submission: DataFrame, video: str = "video_id") -> DataFrame:
+    """Rows of the solution whose video the submission has."""
+    return solution.join(submission.select(video).distinct(), video, "left_semi")
 
 
 def parse_behaviours(videos: DataFrame, column: str = "behaviors_labeled", distinct: bool = True) -> DataFrame:

@@ -66,13 +66,27 @@ def trainable(labels: DataFrame, keys: list[str], least_videos: int = 5) -> Data
 
 
 def sample_negatives(df: DataFrame, keys: list[str], share: float = 1e6, floor: int = 100, seed: int = 42) -> DataFrame:
-    """All positives, and max(share * positives, floor) negatives of each key, drawn by a hash of the row; keys without
-    a positive go."""
-    n = F.sum(F.when(c("label") == 1, 1).otherwise(0)).over(Window.partitionBy(*keys))
-    order = Window.partitionBy(*keys, "label").orderBy(F.xxhash64(F.lit(seed), *df.columns))
-    made = df.withColumns({"_pos": n, "_nth": F.row_number().over(order)})
-    keep = (c("label") == 1) | (c("_nth") <= F.greatest(c("_pos") * share, F.lit(floor)))
-    return made.where((c("_pos") > 0) & keep).drop("_pos", "_nth")
+    """All positives, and max(share * positives, floor) negatives of each key, the first by a digest of the row (md5 of the
+    seed and the cells, joined by `|`); keys without a positive go."""
+    counts = df.groupBy(*keys).agg(F.sum(F.when(c("label") == 1, 1).otherwise(0)).alias("_pos"), F.sum(F.when(c("label") == 1, 0).otherwise(1)).alias("_neg")).where("_pos > 0")
+    made = df.join(counts, keys).withColumn("_draw", F.when(c("label") == 1, F.lit(None)).otherwise(F.md5(F.concat_ws("|", F.lit(seed), *(F.coalesce(c(k).cast("string"), F.lit("")) for k in df.columns)))))
+    most = F.greatest(c("_pos") * share, F.lit(floor))
+    # a bucket of hash values is taken whole, left out whole, or cut: only the cut one is put in order
+    made = made.withColumn("_bucket", F.conv(F.substring("_draw", 1, 3), 16, 10).cast("int"))
+    sizes = made.where("_draw is not null").groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    placed = made.where("_draw is not null").join(before, [*keys, "_bucket"]).where(c("_before") < most)
+    whole = placed.where(c("_before") + c("_n") <= most)
+    cut = placed.where(c("_before") + c("_n") > most).withColumn("_nth", F.row_number().over(Window.partitionBy(*keys, "_bucket").orderBy("_draw", *df.columns)))
+    out = made.where("_draw is null").select(*df.columns).unionByName(whole.select(*df.columns))
+    return out.unionByName(cut.where(c("_before") + c("_nth") <= most).select(*df.columns))
+
+
+def class_weights(df: DataFrame, power: float = 0.5) -> DataFrame:
+    """df with weight: (negatives / positives) ** power for positives, 1 for negatives."""
+    n = df.agg(F.sum(F.when(c("label") == 1, 1).otherwise(0)).alias("_p"), F.sum(F.when(c("label") == 0, 1).otherwise(0)).alias("_n"))
+    heavier = F.pow(F.try_divide(c("_n"), c("_p")), F.lit(power))
+    return df.crossJoin(F.broadcast(n)).withColumn("weight", F.when(c("label") == 1, F.coalesce(heavier, F.lit(1.0))).otherwise(1.0)).drop("_p", "_n")  # one row
 
 
 def assembled(df: DataFrame, features: list[str], fill: float = -1.0) -> DataFrame:
@@ -87,13 +101,21 @@ def positive(model: GBTClassificationModel, df: DataFrame) -> DataFrame:
     return made.drop("rawPrediction", "probability", "features")
 
 
+def fit_fold(rows: DataFrame, fold: int, trees: Trees, weight: str | None = None, validation: str | None = None) -> GBTClassificationModel:
+    """The model of a fold, fitted on the others' assembled rows. With a column of weights; with a boolean column of rows
+    to validate by, boosting stops early when they no longer gain."""
+    more = {"weightCol": weight} if weight else {}
+    more |= {"validationIndicatorCol": validation} if validation else {}
+    return trees.estimator(**more).fit(rows.where(c("fold") != fold))
+
+
 def cross_validate(df: DataFrame, features: list[str], trees: Trees | None = None, folds: int = 5, weight: str | None = None) -> tuple[DataFrame, list[GBTClassificationModel]]:
     """Out-of-fold predictions of rows with a label (columns of df, prediction), and the fold models. df has fold."""
     trees = trees or Trees()
     rows = assembled(df.where(c("label").isNotNull()).withColumn("label", c("label").cast("double")), features)
     models, out = [], None
     for k in range(folds):
-        model = trees.estimator(**({"weightCol": weight} if weight else {})).fit(rows.where(c("fold") != k))
+        model = fit_fold(rows, k, trees, weight)
         models.append(model)
         part = positive(model, rows.where(c("fold") == k))
         out = part if out is None else out.unionByName(part)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,6 +51,15 @@ def densify(df: DataFrame, keys: list[str], frame: str = "frame") -> DataFrame:
     return every.join(df, [*keys, frame], "left")
 
 
+def aligned(tables: list[DataFrame], keys: list[str]) -> DataFrame:
+    """Tables side by side on their keys; a key that a table lacks has NULL in its columns. Each other column has to be
+    in one table only."""
+    names = [k for t in tables for k in t.columns if k not in keys]
+    if not tables or len(set(names)) < len(names):
+        raise ValueError(f"columns of more than one table: {sorted({k for k in names if names.count(k) > 1})}")
+    return reduce(lambda a, b: a.join(b, keys, "full"), tables)
+
+
 def pairs(wide: DataFrame, video: list[str], mouse: str, frame: str, columns: list[str]) -> DataFrame:
     """Ordered pairs of mice in a frame: video, agent, target, frame, and columns with A_ and B_."""
     side = lambda name, prefix: wide.select(*video, F.col(mouse).alias(name), F.col(frame), *(F.col(k).alias(prefix + k) for k in columns))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackloom.operators import decode, evaluate
+from trackloom.operators import decode, durations, evaluate
 from trackloom.queries import views as v
 from trackloom.queries.views import TRACK as t
 
@@ -105,6 +105,24 @@ def best_threshold(spark, sf_dir):
     return v.rounded(evaluate.best_threshold(_oof(spark, sf_dir), 200), ["tp", "fp", "fn"], ["threshold", "f1"], 9)
 
 
+def mean_fold_threshold(spark, sf_dir):
+    return v.rounded(evaluate.mean_fold_threshold(_oof(spark, sf_dir), 50, ["task"]), ["task", "n_folds"], ["threshold"], 9)
+
+
+#: Labs with a table of least lengths, one for each user.
+LABS = ("CRIM13", "ElegantMink", "LyricalHare", "unknown")
+ACTIONS = {"purchase": "attack", "click": "approach", "view": "rear", "error": "sniff"}
+
+
+def min_duration(spark, sf_dir):
+    """Intervals of labs and their actions, three times as long as they are."""
+    df = v.intervals(spark, sf_dir)
+    action = F.create_map(*(F.lit(x) for kv in ACTIONS.items() for x in kv))
+    df = df.withColumns({"action": F.coalesce(F.try_element_at(action, c("action")), F.lit("other")), "stop_frame": c("stop_frame") + 2 * (c("stop_frame") - c("start_frame"))})
+    lab = F.element_at(F.array(*map(F.lit, LABS)), (c("entity") % len(LABS) + 1).cast("int"))
+    return decode.long_enough(df, lab).select("entity", "event_id", "action", "start_frame", "stop_frame")
+
+
 def action_counts(spark, sf_dir):
     return evaluate.action_counts(_oof(spark, sf_dir), ["task"])
 
@@ -136,7 +154,7 @@ def mean_task_f1(spark, sf_dir):
     return v.rounded(evaluate.mean_f1(scores, ["action"]), ["action", "n_tasks"], ["mean_f1", "median_f1"], 8)
 
 
-NAMES = ("decode_intervals", "decode_legacy", "decode_out_of_fold", "decode_scored", "drop_invalid", "greedy_deoverlap", "fill_empty", "validate_intervals", "segments", "crop_window", "f1_at_threshold", "f1_by_fold", "threshold_grid", "best_threshold", "action_counts", "fold_mean", "oof_audit", "frame_set_f1", "mean_task_f1")
+NAMES = ("decode_intervals", "decode_legacy", "decode_out_of_fold", "decode_scored", "drop_invalid", "greedy_deoverlap", "fill_empty", "validate_intervals", "segments", "crop_window", "f1_at_threshold", "f1_by_fold", "threshold_grid", "best_threshold", "mean_fold_threshold", "min_duration", "action_counts", "fold_mean", "oof_audit", "frame_set_f1", "mean_task_f1")
 QUERIES = {k: globals()[k] for k in NAMES}
 
 F1 = "case when 2 * tp + fp + fn = 0 then 0 else 2.0 * tp / (2 * tp + fp + fn) end"
@@ -210,7 +228,15 @@ SETS = f"""with i as ({v.INTERVAL_SQL}), s as ({_sets.format('select * from i')}
     from s full join p on s.entity = p.entity and s.action = p.action and s.frame = p.frame),
     f as (select entity, action, count(*) filter (where ins and inp) as tp, count(*) filter (where not ins and inp) as fp, count(*) filter (where ins and not inp) as fn from b group by 1, 2)"""
 
+_names = " ".join(f"when '{a}' then '{b}'" for a, b in ACTIONS.items())
+_labs = " ".join(f"when {k} then '{lab}'" for k, lab in enumerate(LABS))
+_least = ", ".join(f"('{k}', {n})" for k, n in durations.LEAST_FRAMES.items())
+
 ORACLE_SQL = {
+    "mean_fold_threshold": f"""with o as ({OOF_SQL}), g as (select k / 50.0::double as cut from range(51) r(k)), s as (select task, fold, cut, {COUNTS.format(at='cut')} from o, g group by 1, 2, 3),
+        b as (select task, fold, first(cut order by round({F1}, 12) desc, cut) as threshold from s group by 1, 2) select task, count(*) as n_folds, round(avg(threshold), 9) as threshold from b group by task""",
+    "min_duration": f"""with i as (select entity, event_id, case action {_names} else 'other' end as action, start_frame, stop_frame + 2 * (stop_frame - start_frame) as stop_frame, case entity % {len(LABS)} {_labs} end as lab from ({v.INTERVAL_SQL})),
+        t(name, least) as (values {_least}) select entity, event_id, action, start_frame, stop_frame from i left join t on name = lab || '_' || action where stop_frame - start_frame >= coalesce(least, {durations.LEAST_OTHERWISE})""",
     "decode_intervals": CANONICAL,
     "decode_legacy": f"select * from ({_changes(_winner(PROB_SQL, _two, {'rear': '0.35', 'huddle': '0.5'}, repr('none')), True)}) where stop_frame is not null and action <> 'none'",
     "decode_out_of_fold": f"select * from ({_changes(f'select entity, frame, case when {_best_score} = 0 then {repr(decode.NONE)} else {_best_name} end as label from ({PROB_SQL})', False)}) where start_frame < stop_frame and action <> 'none'",

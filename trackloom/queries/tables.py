@@ -132,8 +132,29 @@ def meta_onehot(spark, sf_dir):
 def neg_sample(spark, sf_dir):
     """All positives and 2 negatives for each, by document source."""
     d = v.table(spark, sf_dir, "documents").select("doc_id", "source")
-    df = v.table(spark, sf_dir, "labels").select("doc_id", c("toxic").alias("label")).join(d, "doc_id")
-    return model.sample_negatives(df, ["source"], share=2.0, floor=5).groupBy("source", "label").agg(F.count(F.lit(1)).alias("n"))
+    df = v.table(spark, sf_dir, "labels").select("doc_id", c("toxic").alias("label")).join(d, "doc_id").select("doc_id", "source", "label")
+    return model.sample_negatives(df, ["source"], share=2.0, floor=5)
+
+
+def behavior_kinds(spark, sf_dir):
+    """Behaviours of all videos by kind."""
+    df = labels.parse_behaviours(_videos(spark, sf_dir).drop("lab_id"))
+    both = [labels.of_kind(df, k).groupBy("action").agg(F.count(F.lit(1)).alias("n")).select(F.lit(k).alias("kind"), "action", "n") for k in ("self", "pair")]
+    return both[0].unionByName(both[1])
+
+
+def submitted_videos(spark, sf_dir):
+    """Intervals of the users who have an error."""
+    df = v.intervals(spark, sf_dir)
+    return labels.of_videos(df, df.where("action = 'error' and start_frame < 10"), "entity").select("entity", "event_id", "start_frame")
+
+
+def aligned_concat(spark, sf_dir):
+    """Figures of the frames that have them, side by side."""
+    df = v.traj(spark, sf_dir)
+    parts = [df.where(c("part") == p).select("entity", "frame", c("x").alias(f"x_{p}")) for p in ("click", "error")]
+    high = df.where("x > 200").select("entity", "frame", "y")
+    return v.rounded(reshape.aligned([*parts, high], ["entity", "frame"]), ["entity", "frame"], ["x_click", "x_error", "y"])
 
 
 def group_folds(spark, sf_dir):
@@ -150,7 +171,7 @@ def gbt_oof(spark, sf_dir):
     return out.select("l_orderkey", "l_linenumber", "label", "fold", "prediction")
 
 
-NAMES = ("scan_pushdown", "pivot_parts", "densify_frames", "usable_videos", "parse_behaviors", "parse_behaviors_all", "drop_redundant", "section_numbers", "count_mice", "pair_join", "group_centroid", "metadata_join", "label_inclusive", "label_exclusive", "behavior_coverage", "without_prediction", "row_numbers", "meta_onehot", "neg_sample", "group_folds", "gbt_oof")
+NAMES = ("scan_pushdown", "pivot_parts", "densify_frames", "usable_videos", "parse_behaviors", "parse_behaviors_all", "drop_redundant", "section_numbers", "count_mice", "pair_join", "group_centroid", "metadata_join", "label_inclusive", "label_exclusive", "behavior_coverage", "without_prediction", "row_numbers", "meta_onehot", "behavior_kinds", "submitted_videos", "aligned_concat", "neg_sample", "group_folds", "gbt_oof")
 QUERIES = {k: globals()[k] for k in NAMES}
 
 VIDEO_SQL = """select c_custkey as video_id, case when c_custkey % 5 = 0 then 'MABe22_' || c_mktsegment else c_mktsegment end as lab_id,
@@ -200,4 +221,10 @@ ORACLE_SQL = {
     "without_prediction": "select c_custkey, c_name from customer where c_custkey not in (select o_custkey from orders where o_orderpriority = '1-URGENT')",
     "row_numbers": "select row_number() over (order by o_custkey, o_orderkey) - 1 as row_id, o_orderkey, o_custkey from orders",
     "meta_onehot": _meta_sql(),
+    "behavior_kinds": f"select case action when 'rear' then 'self' else 'pair' end as kind, action, count(*) as n from (select video_id, {CELLS} from (select video_id, unnest(list_distinct(cells)) as cell from ({VIDEO_SQL}))) group by 1, 2",
+    "submitted_videos": f"select entity, event_id, start_frame from ({v.INTERVAL_SQL}) where entity in (select entity from ({v.INTERVAL_SQL}) where action = 'error' and start_frame < 10)",
+    "aligned_concat": f"with t as ({v.TRAJ_SQL}) select entity, frame, round(case when part = 'click' then x end, 4) + 0.0 as x_click, round(case when part = 'error' then x end, 4) + 0.0 as x_error, round(case when x > 200 then y end, 4) + 0.0 as y from t where part in ('click', 'error') or x > 200",
+    "neg_sample": """with d as (select l.doc_id, d.source, l.toxic as label from labels l join documents d using (doc_id)), p as (select *, sum(label) over (partition by source) as pos,
+        row_number() over (partition by source, label order by md5(concat_ws('|', '42', coalesce(doc_id::varchar, ''), coalesce(source, ''), coalesce(label::varchar, '')))) as nth from d where source is not null)
+        select doc_id, source, label from p where pos > 0 and (label = 1 or nth <= greatest(2.0 * pos, 5))""",
 }

@@ -56,13 +56,20 @@ def floats(df: DataFrame, keys: list[str]) -> DataFrame:
 def numbered(df: DataFrame, order: list[str], name: str = "row_id") -> DataFrame:
     """Rows numbered from 0 in order, without gaps and without sorting all rows in one task: rows are dealt into sorted
     ranges, counted per range, and numbered within."""
-    dealt = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # named, so that both uses deal alike
+    dealt = df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id())
     counts = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     starts = counts.select(F.col("_part"), F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))  # a row per range
     within = Window.partitionBy("_part").orderBy(*order)
     return dealt.withColumn("_k", F.row_number().over(within)).join(F.broadcast(starts), "_part").select((F.col("_base") + F.col("_k") - 1).cast("bigint").alias(name), *df.columns)
 
 
+def write_trace(df: DataFrame, path: str, actions: list[str]) -> None:
+    """Frame probabilities as `probability_<action>`, a folder for each video, agent and target."""
+    keys = ["video_id", "agent_id", "target_id"]
+    write_table(df.select(*keys, "video_frame", *(F.col(a).alias(f"probability_{a}") for a in actions)), path, keys)
+
+
 def write_intervals(df: DataFrame, path: str) -> None:
     """One CSV file with a header, by video, agent, target and start, with row_id from 0."""
     order = ["video_id", "agent_id", "target_id", "start_frame", "stop_frame", "action"]
@@ -72,6 +79,9 @@ def write_intervals(df: DataFrame, path: str) -> None:
 
 def check_written(spark: SparkSession, path: str) -> int:
     """Number of rows of written intervals, whose row_id must be 0 to n - 1, each once."""
+    names = spark.read.csv(path, header=True).columns
+    if names != spark.createDataFrame([], INTERVALS).columns:
+        raise ValueError(f"header is {names}")
     got = spark.read.schema(INTERVALS).csv(path, header=True)
     n, least, most, distinct = got.agg(F.count(F.lit(1)), F.min("row_id"), F.max("row_id"), F.count_distinct("row_id")).first()
     if n and (least, most, distinct) != (0, n - 1, n):
