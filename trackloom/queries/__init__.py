@@ -1,7 +1,7 @@
 """Queries that apply the operators to the driver's tables, each with SQL for the same rows.
 
 The tables hold no poses, so events stand for them: a user is a mouse, its events in order of time are the frames, and
-keypoints are made of an event's value and k. Not all rows take part in every query: README lists those that leave some out.
+keypoints are made of an event's value and k. All rows take part.
 """
 
 from __future__ import annotations
