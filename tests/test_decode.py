@@ -99,9 +99,17 @@ def test_best_threshold_is_the_smallest_of_equal_ones(spark):
 def test_gaussian_mirrors_the_ends(spark):
     import numpy as np
 
-    x = [3.0, 1.0, 4.0, 1.0, 5.0]
-    df = spark.createDataFrame([(1, k, v) for k, v in enumerate(x)], "video int, frame bigint, v double")
-    smoothed = [r.s for r in df.withColumn("s", decode.gaussian(t, F.col("v"))).orderBy("frame").collect()]
+    tracks = {n: [float((7 * k * k + n) % 11) for k in range(n)] for n in (1, 2, 5, 7, 8, 9, 10, 16, 17, 18, 40)}
+    df = spark.createDataFrame([(n, k, v) for n, x in tracks.items() for k, v in enumerate(x)], "video int, frame bigint, v double")
+    found = decode.gaussian(df, t, {"s": "v"}).orderBy("video", "frame").collect()
     w = np.exp(-0.5 * (np.arange(-8, 9) / 2) ** 2)
-    padded = np.pad(x, 8, mode="symmetric")
-    assert np.allclose(smoothed, [(padded[k : k + 17] * w).sum() / w.sum() for k in range(5)])
+    for n, x in tracks.items():
+        padded = np.pad(x, 8, mode="symmetric")
+        assert np.allclose([r.s for r in found if r.video == n], [(padded[k : k + 17] * w).sum() / w.sum() for k in range(n)])
+
+
+def test_gaussian_knows_nothing_near_a_missing_value(spark):
+    df = spark.createDataFrame([(1, k, None if k == 20 else 1.0) for k in range(60)], "video int, frame bigint, v double")
+    found = decode.gaussian(df, t, {"s": "v"}).orderBy("frame").collect()
+    assert [r.frame for r in found if r.s is None] == list(range(12, 29))
+    assert all(abs(r.s - 1) < 1e-12 for r in found if r.s is not None)

@@ -5,6 +5,10 @@ Intervals are half-open: [start_frame, stop_frame). Of equal probabilities the f
 
 from __future__ import annotations
 
+import math
+import operator
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -79,25 +83,31 @@ def out_of_fold(df: DataFrame, t: Track, actions: list[str]) -> DataFrame:
     return drop_invalid(made.where(c("action") != NONE))
 
 
-def gaussian(t: Track, value: Column, sigma: float = 2.0, truncate: float = 4.0) -> Column:
-    """Gaussian smoothing along the rows, mirrored at the ends with the edge rows repeated."""
-    import math
+def gaussian(df: DataFrame, t: Track, out: dict[str, str], sigma: float = 2.0, truncate: float = 4.0) -> DataFrame:
+    """Adds Gaussian smoothings along the rows, {name: column}, mirrored at the ends with the edge rows repeated. A NULL
+    within reach makes NULL.
 
-    radius = int(truncate * sigma + 0.5)
-    weights = [math.exp(-0.5 * (k / sigma) ** 2) for k in range(-radius, radius + 1)]
+    A mirrored row is never farther off than the reach, so all taps are among the rows that far before and after.
+    """
+    reach = int(truncate * sigma + 0.5)
+    weights = [math.exp(-0.5 * (k / sigma) ** 2) for k in range(-reach, reach + 1)]
     total = sum(weights)
-    seen = F.collect_list(value).over(t.over.rowsBetween(-2 * radius, 2 * radius))
-    place, n = F.row_number().over(t.over) - 1, F.count(F.lit(1)).over(t.whole)
-    first = F.greatest(place - 2 * radius, F.lit(0))  # row at the start of seen
+    shares = [w / total for w in weights]
+    near = {f"_g_{name}": F.array(*(t.shift(c(column), -k) for k in range(-reach, reach + 1))) for name, column in out.items()}
+    rest = F.count(F.lit(1)).over(t.over.rowsBetween(0, reach))  # this row and those after it, as far as taps reach
+    made = df.withColumns(near | {"_g_at": F.row_number().over(t.over) - 1, "_g_rest": rest})
+    place, n = c("_g_at"), c("_g_at") + c("_g_rest")  # n: the track's length, or more than any tap's place
 
-    def tap(k: int) -> Column:
+    def mirrored(k: int) -> Column:
         at = F.pmod(place + k, 2 * n)
-        return F.get(seen, F.when(at >= n, 2 * n - 1 - at).otherwise(at) - first) * (weights[k + radius] / total)
+        return F.when(at >= n, 2 * n - 1 - at).otherwise(at) - place + reach
+
+    def smooth(seen: Column) -> Column:
+        inner = [F.get(seen, F.lit(j)) * w for j, w in enumerate(shares)]
+        edge = [F.get(seen, mirrored(j - reach).cast("int")) * w for j, w in enumerate(shares)]
+        return F.when((place >= reach) & (c("_g_rest") > reach), reduce(operator.add, inner)).otherwise(reduce(operator.add, edge))
 
-    out = tap(-radius)
-    for k in range(-radius + 1, radius + 1):
-        out = out + tap(k)
-    return out
+    return made.withColumns({name: smooth(c(f"_g_{name}")) for name in out}).drop("_g_at", "_g_rest", *near)
 
 
 def long_enough(found: DataFrame, lab: Column, least_frames: dict[str, int] | None = None, default: int = LEAST_OTHERWISE) -> DataFrame:
@@ -116,7 +126,7 @@ def scored(df: DataFrame, t: Track, cutoffs: dict[str, float], least_frames: dic
     """Decoding of smoothed fold means: a score is p / cut-off where p reaches it, else 0; runs of the best score of at
     least the lab's and action's number of frames. A run without a stop counts as long enough here and is dropped then,
     as is the first run of a track."""
-    smoothed = df.withColumns({f"_s_{a}": gaussian(t, c(a)) for a in cutoffs})
+    smoothed = gaussian(df, t, {f"_s_{a}": a for a in cutoffs})
     smoothed = smoothed.withColumns({f"_q_{a}": F.when(c(f"_s_{a}") >= v, F.coalesce(F.try_divide(c(f"_s_{a}"), F.lit(float(v))), F.lit(0.0))).otherwise(0.0) for a, v in cutoffs.items()})
     name, best = winner({a: c(f"_q_{a}") for a in cutoffs})
     made = by_change(smoothed.withColumn("_label", F.when(best == 0, NONE).otherwise(name)), t, "_label").where(c("action") != NONE)

@@ -80,7 +80,7 @@ def position(df: DataFrame, t: Track, parts: tuple[str, ...], section: int = 1)
         return df
     clip = {}
     for k in "xy":
-        low, high = (F.percentile(c(f"_c{k}"), p).over(t.whole) for p in (0.01, 0.99))
+        low, high = (F.percentile(c(f"_c{k}"), [0.01, 0.99]).over(t.whole)[j] for j in (0, 1))
         clip[f"_k{k}"] = F.when(c(f"_c{k}").isNotNull(), F.greatest(F.least(c(f"_c{k}"), high), low))
     made = made.withColumns(clip | {"_dx": t.diff(c("_cx")), "_dy": t.diff(c("_cy"))})
     out = {}

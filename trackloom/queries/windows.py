@@ -107,7 +107,7 @@ def long_window_mean(spark, sf_dir):
 
 
 def gaussian_smooth(spark, sf_dir):
-    return v.rounded(_x(spark, sf_dir).withColumn("s", decode.gaussian(t, c("x"))), K, ["s"])
+    return v.rounded(decode.gaussian(_x(spark, sf_dir), t, {"s": "x"}), K, ["s"])
 
 
 def gap_fill(spark, sf_dir):
