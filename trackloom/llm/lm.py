@@ -16,7 +16,8 @@ No model is held in one place, so its size follows the corpus. Documents are pac
 distinct words, dealt to buckets by hash; a bucket adds up what all slabs counted and answers each in the order of its
 question, 0 for words that occur once. With its words' counts a slab knows its unknown words, and asks for its pairs in the
 same way; with both answers it scores its documents. Questions and answers are shuffled, and so are packed documents,
-to meet their answers. Words and pairs are told apart by 64-bit hashes. The number of buckets follows
+to meet their answers; no text is shuffled unpacked. Which documents are targets is found by joining their ids alone, and
+told to a slab by the places of its target rows. Words and pairs are told apart by 64-bit hashes. The number of buckets follows
 spark.sql.shuffle.partitions and, from some size on, the corpus, so that a bucket fits in memory.
 
 Words are runs of what isn't white space, A-Z lowered. Nulls: a text that is null or without words has no tokens, and
@@ -46,12 +47,14 @@ LEAST = 2
 UNKNOWN, END = np.uint64(0), np.uint64(1)
 #: Bytes of text in a slab (and more in one that holds a single longer document), and slabs for which a bucket is added.
 SLAB, SLABS_A_BUCKET = 2 << 20, 8
-#: A slab: its number, its rows, and how many of them (and of the target rows) have words.
-PARTS = "slab bigint, docs binary, ends bigint, target_ends bigint"
+#: A slab: its number, its rows, and for each row its id, whether it has words and whether it came as a target.
+PARTS = "slab bigint, docs binary, ids array<bigint>, has array<boolean>, target array<boolean>"
 ASKED = "bucket bigint, slab bigint, keys binary, n binary, n_target binary"
 #: known, kept and kept_target (all that is known in the bucket), total and total_target stand in a bucket's first row.
 STATED = ("known", "kept", "kept_target", "total", "total_target")
 ANSWERED = "slab bigint, bucket bigint, n binary, n_target binary, " + ", ".join(f"{k} bigint" for k in STATED)
+#: Rows of answers that tell a slab's target rows have these places, all others counts.
+TOLD = "slab bigint, bucket bigint, n binary, n_target binary, of_pairs boolean, places array<int>"
 SCORED = "doc_id bigint, n_tokens bigint, target_loss double, background_loss double, score double"
 
 
@@ -65,25 +68,26 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, text, target) to slabs: a number of its own and the rows, as a compressed Arrow stream."""
-    number, held, size, ends = TaskContext.get().partitionId() << 33, [], 0, np.zeros(2, np.int64)
+    number, held, has, size = TaskContext.get().partitionId() << 33, [], [], 0
 
     def packed() -> pa.RecordBatch:
         sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        with pa.ipc.new_stream(sink, held[0].select([0, 1]).schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
             for x in held:
-                out.write_batch(x)
-        return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary()), *(pa.array([x], pa.int64()) for x in ends)], names=["slab", "docs", "ends", "target_ends"])
+                out.write_batch(x.select([0, 1]))
+        listed = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+        cells = [pa.concat_arrays([x.column(k) for x in held]) for k in (0, 2)]
+        return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary()), listed(cells[0]), listed(pa.array(np.concatenate(has))), listed(cells[1])], names=["slab", "docs", "ids", "has", "target"])
 
     for batch in batches:
         for low, high, data, offsets in tx.slabs(batch.column(1), SLAB):
             held.append(batch.slice(low, high - low))
-            has = np.zeros(high - low, bool)
-            has[tx.words(data, offsets)[2]] = True
-            ends = ends + [has.sum(), (has & np.asarray(held[-1].column(2).fill_null(False))).sum()]
+            has.append(np.zeros(high - low, bool))
+            has[-1][tx.words(data, offsets)[2]] = True
             size += len(data) + 64 * (high - low)
             if size >= SLAB:
                 yield packed()
-                number, held, size, ends = number + 1, [], 0, np.zeros(2, np.int64)
+                number, held, has, size = number + 1, [], [], 0
     if held:
         yield packed()
 
@@ -176,22 +180,30 @@ def _heard(answers: pa.Table) -> np.ndarray:
     return np.stack([np.concatenate([np.zeros(0, np.int64), *(_numbers(x.as_py(), np.int64) for x in answers[name])]) for name in ("n", "n_target")])
 
 
-def _target(rows: pa.Table) -> np.ndarray:
-    return np.asarray(rows["target"].fill_null(False))
+def _told(answers: pa.Table, of_pairs: bool) -> pa.Table:
+    """Answers on words, or on pairs."""
+    return answers.filter(pa.array([x is of_pairs for x in answers["of_pairs"].to_pylist()], pa.bool_()))
 
 
-def _ask_words(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for slab, docs in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            rows, row, key = _unpacked(docs.as_py())
-            yield _question(slab, key, _target(rows)[row], buckets)
+def _target(rows: pa.Table, answers: pa.Table) -> np.ndarray:
+    """Whether each row of a slab is a target."""
+    out = np.zeros(len(rows), bool)
+    for places in answers["places"]:
+        if places.is_valid:
+            out[np.asarray(places.values)] = True
+    return out
+
+
+def _ask_words(part: pa.Table, targets: pa.Table, buckets: int) -> pa.Table:
+    rows, row, key = _unpacked(part["docs"][0].as_py())
+    return pa.Table.from_batches([_question(part["slab"][0].as_py(), key, _target(rows, targets)[row], buckets)])
 
 
-def _ask_pairs(part: pa.Table, words: pa.Table, buckets: int) -> pa.Table:
+def _ask_pairs(part: pa.Table, answers: pa.Table, buckets: int) -> pa.Table:
     """A slab and the answers on its words to its question for pairs."""
     rows, row, key = _unpacked(part["docs"][0].as_py())
-    pairs = _pairs(row, key, _heard(words)[0][_dealt(key, buckets)[2]])
-    return pa.Table.from_batches([_question(part["slab"][0].as_py(), pairs, _target(rows)[row], buckets)])
+    pairs = _pairs(row, key, _heard(_told(answers, False))[0][_dealt(key, buckets)[2]])
+    return pa.Table.from_batches([_question(part["slab"][0].as_py(), pairs, _target(rows, answers)[row], buckets)])
 
 
 @dataclass
@@ -234,35 +246,51 @@ def losses(row: np.ndarray, target: np.ndarray, known: np.ndarray, word: np.ndar
 def _score(part: pa.Table, answers: pa.Table, buckets: int, totals: Totals) -> pa.Table:
     """A slab and the answers on its words and pairs to losses and scores of its documents."""
     rows, row, key = _unpacked(part["docs"][0].as_py())
-    of_pairs = answers["of_pairs"].combine_chunks() if len(answers) else pa.array([], pa.bool_())
-    words, pairs = answers.filter(pa.array(~np.asarray(of_pairs))), answers.filter(of_pairs)
+    words, pairs = _told(answers, False), _told(answers, True)
     place = _dealt(key, buckets)[2]
     known = _heard(words)[:, place]
     pair = _dealt(_pairs(row, key, known[0]), buckets)[2]
     pair_count = _heard(pairs)[:, pair]
-    background, target = losses(row, _target(rows).astype(np.float64), known, np.where(known[0] > 0, place + 1, 0), pair, pair_count, totals)
+    background, target = losses(row, _target(rows, answers).astype(np.float64), known, np.where(known[0] > 0, place + 1, 0), pair, pair_count, totals)
     n = np.bincount(row, minlength=len(rows))
     return pa.table([rows["doc_id"], pa.array(n, pa.int64()), pa.array(target), pa.array(background), pa.array(target - background)], names=["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
 
 
-def score(rows: DataFrame) -> DataFrame:
-    """rows: doc_id, text and target (boolean). doc_id, n_tokens, target_loss, background_loss and score of every row."""
-    rows = rows.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"), F.col("target").cast("boolean"))
-    parts = cut(rows.mapInArrow(_packed, PARTS), "lm-slabs")
-    buckets = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), parts.count() // SLABS_A_BUCKET)
+def _scored(parts: DataFrame, targets: DataFrame) -> DataFrame:
+    """parts: slabs. targets: slab, row and has of the rows that are targets."""
+    of_slab = targets.groupBy("slab").agg(F.array_sort(F.collect_list("row")).alias("places"), F.sum(F.col("has").cast("bigint")).alias("ends"))  # a slab's rows are bounded
+    of_slab = cut(of_slab, "lm-targets")
+    ends, target_ends = parts.agg(F.coalesce(F.sum(F.aggregate("has", F.lit(0).cast("bigint"), lambda n, x: n + x.cast("bigint"))), F.lit(0))).first()[0], of_slab.agg(F.coalesce(F.sum("ends"), F.lit(0))).first()[0]
+    buckets = max(int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions")), parts.count() // SLABS_A_BUCKET)
     answered = lambda asked, name, least: cut(asked.groupBy("bucket").applyInArrow(lambda x: _answer(x, least), ANSWERED), name)
     with_slab = lambda answers: parts.select("slab", "docs").groupBy("slab").cogroup(answers.groupBy("slab"))
-    words = answered(parts.select("slab", "docs").mapInArrow(partial(_ask_words, buckets=buckets), ASKED), "lm-words", LEAST)
-    totals = Totals.of(words, tuple(parts.agg(F.coalesce(F.sum("ends"), F.lit(0)), F.coalesce(F.sum("target_ends"), F.lit(0))).first()))
-    words = words.select("slab", "bucket", "n", "n_target", F.lit(False).alias("of_pairs"))
-    pairs = answered(with_slab(words).applyInArrow(lambda part, own: _ask_pairs(part, own, buckets), ASKED), "lm-pairs", 1)
-    both = words.unionByName(pairs.select("slab", "bucket", "n", "n_target", F.lit(True).alias("of_pairs")))
-    return with_slab(both).applyInArrow(lambda part, own: _score(part, own, buckets, totals), SCORED)
+    told = lambda answers, of_pairs: answers.select("slab", "bucket", "n", "n_target", F.lit(of_pairs).alias("of_pairs"), F.lit(None).cast("array<int>").alias("places"))
+    empty = {k: F.lit(None).cast(kind) for k, kind in (x.split() for x in TOLD.split(", "))}
+    heard = of_slab.select(*(F.col(k) if k in ("slab", "places") else v.alias(k) for k, v in empty.items()))
+    words = answered(with_slab(heard).applyInArrow(lambda part, own: _ask_words(part, own, buckets), ASKED), "lm-words", LEAST)
+    totals = Totals.of(words, (ends, target_ends))
+    heard = heard.unionByName(told(words, False))
+    pairs = answered(with_slab(heard).applyInArrow(lambda part, own: _ask_pairs(part, own, buckets), ASKED), "lm-pairs", 1)
+    heard = heard.unionByName(told(pairs, True))
+    return with_slab(heard).applyInArrow(lambda part, own: _score(part, own, buckets, totals), SCORED)
+
+
+def _slabs(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Slabs of rows (doc_id, text and target), and slab, row, doc_id, has and target of every row."""
+    parts = cut(rows.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"), F.col("target").cast("boolean")).mapInArrow(_packed, PARTS), "lm-slabs")
+    listed = parts.select("slab", F.posexplode(F.arrays_zip("ids", "has", "target")).alias("row", "of"))
+    return parts, listed.select("slab", "row", F.col("of.ids").alias("doc_id"), F.col("of.has").alias("has"), F.col("of.target").alias("target"))
+
+
+def score(rows: DataFrame) -> DataFrame:
+    """rows: doc_id, text and target (boolean). doc_id, n_tokens, target_loss, background_loss and score of every row."""
+    parts, listed = _slabs(rows)
+    return _scored(parts, listed.where("target"))
 
 
 def cross_entropy_difference(docs: DataFrame, targets: DataFrame) -> DataFrame:
-    """Scores of docs, with those whose doc_id is in targets as the target corpus. Both grow together, so they are
-    joined by sorting at every size."""
+    """Scores of docs, with those whose doc_id is in targets as the target corpus. Both grow together, so their ids are
+    joined by sorting at every size; texts stay where they are."""
     ids = targets.select(F.col("doc_id").cast("bigint").alias("_target_id")).where("_target_id is not null").distinct()
-    text = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return score(text.join(ids.hint("merge"), F.col("doc_id") == F.col("_target_id"), "left").select("doc_id", "text", F.col("_target_id").isNotNull().alias("target")))
+    parts, listed = _slabs(docs.select("doc_id", "text", F.lit(False).alias("target")))
+    return _scored(parts, listed.join(ids.hint("merge"), F.col("doc_id") == F.col("_target_id"), "left_semi"))
