@@ -126,12 +126,17 @@ def _dealt(key: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.nd
 
 
 def _planes(x: np.ndarray) -> bytes:
-    """All lowest bytes of x, then all next ones, and so on: most numbers are small, so the shuffle's compression finds runs."""
-    return x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes()
+    """How many bytes the largest of x (none negative) needs; then all lowest bytes of x, all next ones, and so on up to
+    that many: most numbers are small, and the shuffle's compression finds runs."""
+    width = max(1, (int(x.max(initial=0)).bit_length() + 7) // 8)
+    return bytes([width]) + x.view(np.uint8).reshape(-1, x.itemsize)[:, :width].T.tobytes()
 
 
 def _numbers(planes: bytes, kind: type) -> np.ndarray:
-    return np.frombuffer(planes, np.uint8).reshape(np.dtype(kind).itemsize, -1).T.copy().view(kind)[:, 0]
+    found = np.frombuffer(planes, np.uint8)[1:].reshape(planes[0], -1)
+    out = np.zeros((found.shape[1], np.dtype(kind).itemsize), np.uint8)
+    out[:, : len(found)] = found.T
+    return out.view(kind)[:, 0]
 
 
 def _question(slab: int, key: np.ndarray, target: np.ndarray, buckets: int) -> pa.RecordBatch:
