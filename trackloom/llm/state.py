@@ -9,8 +9,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-#: Removes a query's shuffle files when it has ended (Spark 4.1; other versions don't know it).
-CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Held while a table is written: a query's shuffle files go when it has ended, and a batch for Python has a few MB, so
+#: that long texts take no more memory than short ones (Spark 4.1; other versions don't know the two).
+WHILE_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -28,12 +29,14 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     What was shuffled for it isn't read again, so it goes at once."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEAN, None)
-    spark.conf.set(CLEAN, "true")
+    before = {k: spark.conf.get(k, None) for k in WHILE_WRITING}
     try:
+        for k, value in WHILE_WRITING.items():
+            spark.conf.set(k, value)
         df.write.option("compression", "zstd").parquet(path)
     finally:
-        spark.conf.unset(CLEAN) if before is None else spark.conf.set(CLEAN, before)
+        for k, value in before.items():
+            spark.conf.unset(k) if value is None else spark.conf.set(k, value)
     return spark.read.schema(df.schema).parquet(path)
 
 
