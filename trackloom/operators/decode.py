@@ -49,10 +49,11 @@ def runs(df: DataFrame, t: Track, label: str, gaps: bool = True) -> DataFrame:
     return marked.where(c(label).isNotNull()).groupBy(*t.keys, "_run", label).agg(F.min(t.frame).alias("start_frame"), (F.max(t.frame) + 1).alias("stop_frame")).drop("_run")
 
 
-def intervals(df: DataFrame, t: Track, cutoffs: dict[str, float]) -> DataFrame:
-    """The canonical decoding: in each frame the winner counts if it reaches its own cut-off; runs of it are intervals."""
+def intervals(df: DataFrame, t: Track, cutoffs: dict[str, float], checked: bool = True) -> DataFrame:
+    """The canonical decoding: in each frame the winner counts if it reaches its own cut-off; runs of it are intervals.
+    checked: what isn't a probability raises; else any score is taken as it is (NULL never wins, NaN is the greatest)."""
     name, best = winner({a: c(a) for a in cutoffs})
-    chosen = check_probabilities(df, list(cutoffs)).withColumns({"_name": name, "_best": best})
+    chosen = (check_probabilities(df, list(cutoffs)) if checked else df).withColumns({"_name": name, "_best": best})
     chosen = chosen.select(*t.keys, t.frame, F.when(c("_best") >= thresholds(cutoffs, c("_name")), c("_name")).alias("action"))
     return runs(chosen, t, "action")
 
