@@ -30,6 +30,8 @@ UNKNOWN = "und"
 #: Rows compared at once, so that row, count and n-gram fit a 64-bit number; counts over MOST are sorted in another way.
 ROWS = 1 << 12
 MOST = (1 << 20) - 1
+#: Bytes of text read at once (one text at least): n-grams take some hundred bytes for each, in every worker of an executor.
+SLAB = 1 << 18
 
 _FOLD: np.ndarray | None = None
 
@@ -91,7 +93,7 @@ def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         langs = batch.column(0).dictionary_encode()
         names, codes = langs.dictionary, np.asarray(langs.indices)
-        for low, high, data, offsets in tx.slabs(batch.column(1)):
+        for low, high, data, offsets in tx.slabs(batch.column(1), SLAB):
             row, gram = grams(data, offsets)
             lang, gram, count = counted(codes[low:high].astype(np.uint64)[row.astype(np.int64)], gram)
             yield pa.RecordBatch.from_arrays([names.take(pa.array(lang.astype(np.int64))), pa.array(gram.astype(np.int64)), pa.array(count.astype(np.int64))], names=["lang", "gram", "n"])
@@ -152,14 +154,14 @@ def _classify(batches: Iterator[pa.RecordBatch], profiles: dict[str, list[int]],
     ranker = Ranker(profiles)
     names = pa.array([*ranker.names, UNKNOWN])
     for batch in batches:
-        langs, scores = [np.zeros(0, np.int64)], [np.zeros(0)]
-        for low, high, data, offsets in tx.slabs(batch.column(column)):
+        for low, high, data, offsets in tx.slabs(batch.column(column), SLAB):
+            langs, scores = [], []
             for k in range(0, high - low, ROWS):
                 part = offsets[k : min(k + ROWS, high - low) + 1]
                 lang, score = ranker.predict(data[part[0] : part[-1]], part - part[0])
                 langs.append(np.where(lang < 0, len(ranker.names), lang))
                 scores.append(score)
-        yield pa.RecordBatch.from_arrays([*batch.columns, names.take(pa.array(np.concatenate(langs))), pa.array(np.concatenate(scores))], names=[*batch.schema.names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.slice(low, high - low).columns, names.take(pa.array(np.concatenate(langs))), pa.array(np.concatenate(scores))], names=[*batch.schema.names, "lang_pred", "score"])
 
 
 def classify(docs: DataFrame, profiles: dict[str, list[int]]) -> DataFrame:
